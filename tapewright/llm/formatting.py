@@ -105,21 +105,24 @@ def formatting_groups(df: DataFrame, key: str = "rowid", fields: tuple[str, ...]
     return g.groupBy("rep").agg(F.sum("n").alias("copies")).select(F.col("rep").alias(key), "copies")
 
 
-def formatting_members(df: DataFrame, key: str = "rowid", fields: tuple[str, ...] = ("filepath",)) -> DataFrame:
-    """``key``, ``group_key``, ``copies`` for every record of ``formatting_groups``, singletons included.
-
-    Each row finds its variant through 128 bits of its word sequence. Hot paths meet a split join (AQE) on that key.
+def formatting_members(
+    df: DataFrame, key: str = "rowid", fields: tuple[str, ...] = ("filepath",), keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``key``, ``group_key``, ``copies`` and the columns ``keep`` for every record of ``formatting_groups``, singletons
+    included. A word sequence that very many rows share is a hot key of the last join, which AQE splits.
     """
     spark = df.sparkSession
     stage = Stage(spark, "formatting")
     fields = list(fields)
-    rows = _with_words(df.select(F.col(key).cast("bigint").alias("_id"), *fields), fields).filter(F.size("_words") > 0)
-    rows = stage.put(rows.select("_id", F.array_join("_words", " ").alias("_text")))
+    payload = F.struct(*keep).alias("_keep") if keep else F.lit(None).alias("_keep")
+    rows = _with_words(df.select(F.col(key).cast("bigint").alias("_id"), *fields, payload), fields).filter(F.size("_words") > 0)
+    rows = stage.put(rows.select("_id", F.array_join("_words", " ").alias("_text"), *(["_keep"] if keep else [])))
     variants = rows.groupBy("_text").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n"))
     g = stage.put(_grouped(variants, stage))
     sizes = g.groupBy("rep").agg(F.sum("n").alias("copies"))
-    lookup = g.filter(F.col("n") > 0).join(sizes, "rep").select("_text", "rep", "copies")
-    return rows.join(lookup, "_text").select(F.col("_id").alias(key), F.col("rep").alias("group_key"), "copies")
+    lookup = g.join(sizes, "rep").select("_text", "rep", "copies")
+    out = rows.join(lookup, "_text")
+    return out.select(F.col("_id").alias(key), F.col("rep").alias("group_key"), "copies", *(["_keep.*"] if keep else []))
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:

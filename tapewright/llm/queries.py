@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tapewright.llm import formatting
+from tapewright.llm import formatting, survivors
 
 QUERIES = {
     "p1_found": formatting.p1_found,
+    "p5_found": survivors.p5_found,
 }
 SQL: dict[str, str] = {}
