@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tapewright.llm import formatting, survivors
+from tapewright.llm import components, formatting, near_duplicates, survivors
 
 QUERIES = {
     "p1_found": formatting.p1_found,
+    "p2_found": components.p2_found,
+    "p4_found": near_duplicates.p4_found,
     "p5_found": survivors.p5_found,
 }
 SQL: dict[str, str] = {}
