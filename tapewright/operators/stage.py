@@ -43,9 +43,15 @@ class Stage:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_stage_path", None)
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(path)
+
+    def clear(self) -> None:
+        """Drop every table put so far."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 HOT_KEYS = 256
