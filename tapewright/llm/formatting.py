@@ -71,22 +71,22 @@ def _variants(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 def _grouped(variants: DataFrame, stage: Stage) -> DataFrame:
     """_text, first, n, and ``rep``: the smallest ``first`` among the variants with the same words."""
-    v = bind(variants.withColumn("_words", F.split("_text", " ")), _fp=_multiset_hash(F.col("_words")))
-    v = stage.put(v.select("_text", "first", "n", "_words", "_fp"))
-    reps = v.groupBy("_fp").agg(F.min(F.struct("first", "_words")).alias("_r"), F.count(F.lit(1)).alias("_k"))
+    words = lambda c: F.split(c, " ")
+    v = stage.put(bind(variants, _fp=_multiset_hash(words(F.col("_text")))))
+    reps = v.groupBy("_fp").agg(F.min(F.struct("first", "_text")).alias("_r"), F.count(F.lit(1)).alias("_k"))
     # equal fields: each word's count among the variant's words less its count among the representative's is zero
-    many = reps.filter(F.col("_k") > 1).select("_fp", F.col("_r.first").alias("rep"), F.col("_r._words").alias("_rep_words"))
+    many = reps.filter(F.col("_k") > 1).select("_fp", F.col("_r.first").alias("rep"), F.col("_r._text").alias("_rep_text"))
     pairs = v.join(many, "_fp").filter(F.col("first") != F.col("rep"))
     tally = F.concat(
-        F.transform("_words", lambda w: F.struct(w.alias("w"), F.lit(1).alias("x"))),
-        F.transform("_rep_words", lambda w: F.struct(w.alias("w"), F.lit(-1).alias("x"))),
+        F.transform(words(F.col("_text")), lambda w: F.struct(w.alias("w"), F.lit(1).alias("x"))),
+        F.transform(words(F.col("_rep_text")), lambda w: F.struct(w.alias("w"), F.lit(-1).alias("x"))),
     )
     off = pairs.select("first", F.inline(tally)).groupBy("first", "w").agg(F.sum("x").alias("x")).filter(F.col("x") != 0)
     off = off.select("first").distinct()
     joined = v.join(reps.select("_fp", F.col("_r.first").alias("rep")), "_fp")
     good = joined.join(off, "first", "left_anti").select("_text", "first", "n", "rep")
     # words that differ under one hash (not to be expected): grouped by their exact counts
-    bad = joined.join(off, "first", "left_semi").withColumn("_key", F.array_sort("_words"))
+    bad = joined.join(off, "first", "left_semi").withColumn("_key", F.array_sort(words(F.col("_text"))))
     own = bad.groupBy("_key").agg(F.min("first").alias("_own"))
     return good.unionByName(bad.join(own, "_key").select("_text", "first", "n", F.col("_own").alias("rep")))
 
@@ -106,10 +106,10 @@ def formatting_groups(df: DataFrame, key: str = "rowid", fields: tuple[str, ...]
 
 
 def formatting_members(
-    df: DataFrame, key: str = "rowid", fields: tuple[str, ...] = ("filepath",), keep: tuple[str, ...] = ()
+    df: DataFrame, key: str = "rowid", fields: tuple[str, ...] = ("filepath",), keep: tuple[str, ...] = (), least: int = 1
 ) -> DataFrame:
-    """``key``, ``group_key``, ``copies`` and the columns ``keep`` for every record of ``formatting_groups``, singletons
-    included. A word sequence that very many rows share is a hot key of the last join, which AQE splits.
+    """``key``, ``group_key``, ``copies`` and the columns ``keep`` for every record of ``formatting_groups`` in a group of
+    at least ``least`` copies. A word sequence that very many rows share is a hot key of the last join, which AQE splits.
     """
     spark = df.sparkSession
     stage = Stage(spark, "formatting")
@@ -121,8 +121,10 @@ def formatting_members(
     g = stage.put(_grouped(variants, stage))
     sizes = g.groupBy("rep").agg(F.sum("n").alias("copies"))
     lookup = g.join(sizes, "rep").select("_text", "rep", "copies")
-    out = rows.join(lookup, "_text")
-    return out.select(F.col("_id").alias(key), F.col("rep").alias("group_key"), "copies", *(["_keep.*"] if keep else []))
+    out = rows.join(lookup.filter(F.col("copies") >= least), "_text")
+    out = out.select(F.col("_id").alias(key), F.col("rep").alias("group_key"), "copies", *(["_keep.*"] if keep else []))
+    out._stage = stage  # whoever stores the result may drop what it was made from
+    return out
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:

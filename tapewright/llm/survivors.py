@@ -58,7 +58,7 @@ def survivors(catalog: DataFrame, libraries: DataFrame) -> DataFrame:
     """
     spark = catalog.sparkSession
     stage = Stage(spark, "survivors")
-    rows = formatting_members(catalog, keep=("library", "modificationdate", *FIELDS)).filter(F.col("copies") > 1)
+    members = rows = formatting_members(catalog, keep=("library", "modificationdate", *FIELDS), least=2)
     lookup = libraries.filter(F.col("library").isNotNull()).groupBy("library").agg(F.min(F.struct("tz_name", "date_order", "trust_rank")).alias("_l"))
     lookup = lookup.select("library", "_l.*").join(zone_abbreviations(spark), "tz_name", "left")
     rows = rows.join(lookup, "library", "left")
@@ -72,6 +72,7 @@ def survivors(catalog: DataFrame, libraries: DataFrame) -> DataFrame:
         (~is_placeholder(F.col("pathname"))).alias("_pathname"),
     )
     rows = stage.put(rows)
+    members._stage.clear()
     short = beginnings(rows, "group_rowid", "_core").withColumn("_short", F.lit(True))
     rows = rows.join(short, ["group_rowid", "_core"], "left")
     usable = {
