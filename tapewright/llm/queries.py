@@ -1,13 +1,19 @@
-"""Registered queries of the llm operators."""
+"""Registered queries of the llm operators. None has an SQL equivalent; tests hold them against brute force."""
 
 from __future__ import annotations
 
-from tapewright.llm import components, formatting, near_duplicates, survivors
+from tapewright.llm import components, formatting, mixing, near_duplicates, packing, survivors, truncation
 
 QUERIES = {
     "p1_found": formatting.p1_found,
     "p2_found": components.p2_found,
     "p4_found": near_duplicates.p4_found,
     "p5_found": survivors.p5_found,
+    "p6_containers": packing.p6_containers,
+    "p6_report": packing.p6_report,
+    "p7_documents": mixing.p7_documents,
+    "p7_shares": mixing.p7_shares,
+    "p8_found": truncation.p8_found,
+    "p8_report": truncation.p8_report,
 }
 SQL: dict[str, str] = {}
