@@ -13,6 +13,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.functions.bind import bind
 from tapewright.functions.text import trimmed
 
 DAY_US = 86_400_000_000
@@ -89,13 +90,6 @@ def _at(us: Column, zone: Column) -> Column:
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone))
 
 
-def bind(df: DataFrame, **exprs: Column) -> DataFrame:
-    """``df`` with further columns, each computed once a row. Through a plain projection the optimizer would copy the
-    expressions into every use and every pushed filter, level by level; it does not do so through a generator."""
-    row = F.explode(F.array(F.struct(*(e.alias(k) for k, e in exprs.items())))).alias("_row")
-    return df.select(*df.columns, row).select(*df.columns, "_row.*")
-
-
 def parse_instants(df: DataFrame, value: str, tz: str, order: str, abbreviations: str) -> DataFrame:
     """Add ``utc_us`` bigint and ``status`` string for the text column ``value``.
 

@@ -1,13 +1,503 @@
-"""Registered queries of the core library and their DuckDB equivalents."""
+"""Registered queries of the core library and their DuckDB equivalents, over the catalog tables.
+
+Each query runs on whole tables. Where no SQL is given, the tests hold the operator against a plain model.
+"""
 
 from __future__ import annotations
 
-from tapewright.operators import normalise_instants
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FLAGSHIP = "p3_found"
+from tapewright.functions import fingerprints, paths
+from tapewright.functions.durations import split_seconds
+from tapewright.functions.values import rank_value
+from tapewright.operators import dedupe, edit, landmarks, match, model, normalise_instants, views
+from tapewright.operators.catalog_rows import visible_columns, working_rows
+from tapewright.operators.model import Enabled, Preferences, Rule, shown_text
+from tapewright.operators.search import search
 
-QUERIES = {
-    "p3_found": normalise_instants.p3_found,
-    "p3_status_report": normalise_instants.p3_status_report,
-}
+FLAGSHIP = "search_pipeline"
+QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+PLAIN = Preferences()
+SIMILAR = Preferences(match_criteria=("filename",), ignore_filetype=True)
+NAMES = Enabled(basic=True, filename=True, audiosuite=True)
+FULL = Enabled(basic=True, filename=True, audiosuite=True, waveform=True, dual_mono=True, filetags=True, duration=True, dbcompare=True, invalidpath=True, min_dur=1.0)
+FULL_PREFS = replace(SIMILAR, match_criteria=("filename", "channels"), autoselects=("_ZQ_", ".aif"))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "justinmetadata")
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+# SQL pieces
+
+SPACE = r"[\t-\r\x{85}\p{Z}]+"
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _trim(c: str) -> str:
+    return rf"regexp_replace({c}, '\A{SPACE}|{SPACE}\z', '', 'g')"
+
+
+def _any(c: str, parts) -> str:
+    return "(" + (" or ".join(f"contains({c}, {_lit(p)})" for p in dict.fromkeys(parts)) or "false") + ")"
+
+
+def _before(c: str, parts) -> str:
+    return "case " + " ".join(f"when contains({c}, {_lit(p)}) then split_part({c}, {_lit(p)}, 1)" for p in dict.fromkeys(parts)) + f" else {c} end"
+
+
+def _rows(prefs: Preferences, enabled: Enabled, source: str = "justinmetadata") -> str:
+    """CTEs up to ``r0``: working rows with keep and one boolean for each flag."""
+    names = ("wave", "dual", "repl", "dur", "inv", "ftag", "tag", "cmp", "simaudio", "simname", "basic")
+    inv = "f.file_path is null" if enabled.invalidpath or enabled.dual_mono else "false"
+    dur = f"coalesce({_seconds('duration')} < {enabled.min_dur}, false)" if enabled.duration else "false"
+    ftag = _any("file_path", prefs.autoselects) if enabled.filetags and prefs.autoselects else "false"
+    cmp_ = "file_name in (select filename from compare_catalog where filename is not null)" if enabled.dbcompare else "false"
+    base = "base" if prefs.ignore_filetype else "base || '.' || ext"
+    flags = {"inv": "_inv", "dur": "_dur", "ftag": "_ftag", "cmp": "_cmp"}
+    return rf"""
+with p1 as (select rowid as id, coalesce(filepath, '') as file_path, coalesce(duration, '') as duration, coalesce(description, '') as description,
+    channels, bitdepth, samplerate, pathname, nullif(_fingerprint, '') as fingerprint, _dualmono, filename as c_filename, cast(channels as varchar) as c_channels,
+    duration as c_duration, description as c_description, pathname as c_pathname, cast(samplerate as varchar) as c_samplerate, cast(bitdepth as varchar) as c_bitdepth,
+    regexp_replace(coalesce(filepath, ''), '(?:/+\.?)+\z', '') as cut from {source}),
+p2 as (select *, regexp_extract(cut, '([^/]*)\z', 1) as last from p1),
+p3 as (select *, case when last not in ('', '.', '..') then last end as nm from p2),
+p4 as (select *, coalesce(nm, 'Invalid Filename') as file_name, regexp_matches(nm, '(?s)\A.+\.[^.]*\z') as dotted from p3),
+p5 as (select *, coalesce(case when dotted then regexp_extract(nm, '(?s)\A(.+)\.[^.]*\z', 1) else nm end, 'Invalid Filestem') as stem,
+    coalesce(case when dotted then regexp_extract(nm, '\.([^.]*)\z', 1) end, 'Invalid Extension') as ext,
+    case when cut = '' then 'Invalid Path' else regexp_replace(regexp_replace(cut, '[^/]*\z', ''), '(.)/+\z', '\1') end as parent from p4),
+p6 as (select *, {_trim("stem")} as t0 from p5), p7 as (select *, {_before("t0", prefs.tags)} as t1 from p6),
+p8 as (select *, {_before("t1", paths.COPIES)} as t2 from p7),
+p9 as (select *, coalesce(nullif(regexp_extract(t2, '\A([^\n]+?)(?:\.(?:\p{{Nd}}+|M))*\z', 1), ''), t2) as base from p8),
+q0 as (select p9.*, {base} as root, {inv} as _inv, {dur} as _dur, {ftag} as _ftag, {cmp_} as _cmp from p9
+    left join (select distinct filepath as file_path from compare_catalog where filepath is not null) f using (file_path)),
+r0 as (select *, not ({"_inv or " if enabled.invalidpath else ""}_dur or _ftag or _cmp) as keep, {", ".join(f"{flags.get(n, 'false')} as {n}" for n in names)} from q0)"""
+
+
+def _seconds(c: str) -> str:
+    n = r"'[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?'"
+    head, rest = f"split_part({c}, ':', 1)", f"substr({c}, instr({c}, ':') + 1)"
+    return f"case when instr({c}, ':') > 0 and regexp_full_match({head}, {n}) and regexp_full_match({rest}, {n}) then try_cast({head} as double) * 60 + try_cast({rest} as double) end"
+
+
+SHOWN = """concat_ws(',', case when wave then 'Waveforms' end, case when keep then 'Keep' end, case when dual then 'DualMono' end, case when repl then 'Replace' end,
+    case when dur then 'Duration' end, case when inv then 'InvalidPath' end, case when ftag then 'FileTags' end, case when tag then 'Tags' end, case when cmp then 'Compare' end,
+    case when simaudio then 'SimilarAudio' end, case when simname then 'SimilarFilename' end, case when basic then 'Basic' end)"""
+
+
+def _rank(c: str) -> tuple[str, str]:
+    whole = rf"case when regexp_full_match({c}, '[+-]?\d+') then try_cast({c} as bigint) end"
+    part = lambda i: rf"case when regexp_full_match(regexp_split_to_array({c}, '[:.]')[{i}], '[+-]?\d+') then try_cast(regexp_split_to_array({c}, '[:.]')[{i}] as bigint) end"
+    n = f"len(regexp_split_to_array({c}, '[:.]'))"
+    span = f"case when {n} = 3 then {part(1)} * 60000 + {part(2)} * 1000 + {part(3)} when {n} = 4 then {part(1)} * 3600000 + {part(2)} * 60000 + {part(3)} * 1000 + {part(4)} end"
+    stamp = rf"case when regexp_full_match({c}, '\d{{4}}-\d{{1,2}}-\d{{1,2}} \d{{1,2}}:\d{{1,2}}:\d{{1,2}}') then cast(epoch(try_cast({c} as timestamp)) as bigint) end"
+    kind = f"case when {whole} is not null then 0 when {span} is not null then 1 when {stamp} is not null then 2 else 0 end"
+    return kind, f"coalesce({whole}, {span}, {stamp}, 0)"
+
+
+def _rule(r: Rule, c: str) -> str:
+    x = _lit(r.variable.lower())
+    if r.operator == "Largest":
+        return ", ".join(f"{k} desc" for k in _rank(c))
+    if r.operator == "Smallest":
+        return ""
+    test = {"Is": f"lower({c}) = {x}", "IsNot": f"lower({c}) = {x}", "IsEmpty": f"{c} = ''", "IsNotEmpty": f"{c} = ''", "Contains": f"contains(lower({c}), {x})", "DoesNotContain": f"contains(lower({c}), {x})"}[r.operator]
+    return f"coalesce({test}, false) {'asc' if r.operator in ('IsNot', 'IsNotEmpty', 'DoesNotContain') else 'desc'}"
+
+
+def _order(prefs: Preferences) -> str:
+    name = "stem" if prefs.ignore_filetype else "file_name"
+    rules = [x for r in prefs.preservation_order if (x := _rule(r, f"c_{r.column}"))]
+    return ", ".join(["keep desc", f"(root = {name}) desc", f"{_any('stem', prefs.tags)} asc", *rules, "id"])
+
+
+def _marks(prefs: Preferences, enabled: Enabled, source: str, name: str, keys: list[str], branch: dict[str, str], reset: bool) -> str:
+    """CTEs from ``source`` to ``name``: marking of groups; branch: flag to condition, tested in order."""
+    known = " and ".join(f"{k} is not null" for k in keys)
+    which = "case " + " ".join(f"when {c} then '{f}'" for f, c in branch.items()) + " end"
+    group = f"partition by {', '.join(keys)}"
+    star = ", ".join(f"case when n > 1 and known and b = '{f}' then true else {f} end as {f}" for f in branch)
+    out = f""",
+{name}_a as (select *, ({known}) as known, {which} as b, count(*) over ({group}) as n, row_number() over ({group} order by {_order(prefs)}) as i from {source}),
+{name}_b as (select * exclude ({", ".join(branch)}, keep, known, b, n, i), {star}, case when n > 1 and known and b is not null and i > 1 then false else keep end as keep, (n > 1 and known) as grouped from {name}_a)"""
+    if not reset:
+        return out + f", {name} as (select * exclude (grouped) from {name}_b)"
+    others = ("wave", "dual", "repl", "dur", "inv", "ftag", "tag", "cmp", "simaudio", "simname", "basic")
+    return out + f""",
+{name}_c as (select *, (grouped and bool_and(keep) over ({group})) as again from {name}_b),
+{name} as (select * exclude (grouped, again, {", ".join(others)}), {", ".join(f"({f} and not again) as {f}" for f in others)} from {name}_c)"""
+
+
+def _dupes(prefs: Preferences, enabled: Enabled, source: str = "r0", name: str = "r1") -> str:
+    by_root = enabled.filename or enabled.audiosuite
+    keys = ["root" if c == "filename" and by_root else f"c_{c}" for c in prefs.match_criteria]
+    tagged = _any("stem", prefs.tags)
+    branch = {"basic": f"root = {_trim('file_name')} or root = {_trim('stem')}" if by_root else "true"}
+    if by_root:
+        branch["tag"] = tagged if enabled.audiosuite else "false"
+        branch["simname"] = f"not {tagged}" if enabled.filename else "false"
+    return _marks(prefs, enabled, source, name, keys, branch, reset=True)
+
+
+def _exact(prefs: Preferences, source: str, name: str, only: str = "") -> str:
+    fp = f"case when fingerprint <> 'FAILED'{only} then fingerprint end"
+    return f", {name}_k as (select *, {fp} as fk from {source})" + _marks(prefs, Enabled(), f"{name}_k", f"{name}_m", ["fk"], {"wave": "true"}, reset=False) + f", {name} as (select * exclude (fk) from {name}_m)"
+
+
+def _flags(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "root", shown_text(F.col("flags")).alias("algorithm"))
+
+
+def _rows_of(spark, d, prefs=PLAIN, enabled=Enabled()) -> DataFrame:  # noqa: B008
+    return working_rows(catalog(spark, d), prefs, enabled, table(spark, d, "compare_catalog").select(F.col("filepath").alias("file_path")))
+
+
+# derived columns
+
+
+@query("path_parts", _rows(PLAIN, Enabled()) + " select id, parent, file_name, stem, ext from r0")
+def path_parts(spark, d):
+    c = catalog(spark, d).select(F.col("rowid").alias("id"), F.coalesce("filepath", F.lit("")).alias("p"))
+    return paths.with_names(c, "p").select("id", paths.parent(F.col("p")).alias("parent"), "file_name", "stem", "ext")
+
+
+@query("roots", _rows(PLAIN, Enabled()) + " select id, root, base as root_of_any_type from r0")
+def roots(spark, d):
+    c = catalog(spark, d).select(F.col("rowid").alias("id"), F.coalesce("filepath", F.lit("")).alias("p"))
+    c = paths.with_names(c, "p", model.TAGS).select("id", "p", "root")
+    return paths.with_names(c.withColumnRenamed("root", "r"), "p", model.TAGS, True).select("id", F.col("r").alias("root"), F.col("root").alias("root_of_any_type"))
+
+
+_K, _V = _rank("duration")
+_KB, _VB = _rank("bwdate")
+
+
+@query("rank_values", f"select rowid as id, {_K} as duration_kind, {_V} as duration_value, {_KB} as date_kind, {_VB} as date_value from justinmetadata")
+def rank_values(spark, d):
+    (k, v), (kb, vb) = rank_value(F.col("duration")), rank_value(F.col("bwdate"))
+    return catalog(spark, d).select(F.col("rowid").alias("id"), k.alias("duration_kind"), v.alias("duration_value"), kb.alias("date_kind"), vb.alias("date_value"))
+
+
+@query("rule_seconds", f"select rowid as id, round({_seconds('duration')}, 6) as seconds from justinmetadata")
+def rule_seconds(spark, d):
+    return catalog(spark, d).select(F.col("rowid").alias("id"), F.round(split_seconds(F.col("duration")), 6).alias("seconds"))
+
+
+@query("flag_order", _rows(PLAIN, Enabled(duration=True, min_dur=2.0)) + f" select {SHOWN} as algorithm, count(*) as n from r0 group by 1")
+def flag_order(spark, d):
+    r = _rows_of(spark, d, PLAIN, Enabled(duration=True, min_dur=2.0))
+    return r.select(shown_text(F.col("flags")).alias("algorithm")).groupBy("algorithm").agg(F.count(F.lit(1)).alias("n"))
+
+
+# row rules
+
+for _name, _prefs, _enabled in (
+    ("rule_min_duration", PLAIN, Enabled(duration=True, min_dur=1.0)),
+    ("rule_tags_in_path", replace(PLAIN, autoselects=("_ZQ_", "Reel", ".aif")), Enabled(filetags=True)),
+    ("rule_invalid_path", PLAIN, Enabled(invalidpath=True)),
+    ("rule_invalid_path_for_mono", PLAIN, Enabled(dual_mono=True)),
+):
+
+    def _run(spark, d, prefs=_prefs, enabled=_enabled):
+        return _flags(_rows_of(spark, d, prefs, enabled))
+
+    query(_name, _rows(_prefs, _enabled) + f" select id, root, {SHOWN} as algorithm from r0")(_run)
+
+
+@query("compare_mark", _rows(PLAIN, Enabled(dbcompare=True)) + f" select id, root, {SHOWN} as algorithm from r0")
+def compare_mark(spark, d):
+    return _flags(dedupe.mark_compared(_rows_of(spark, d), table(spark, d, "compare_catalog")))
+
+
+# duplicates
+
+for _name, _prefs, _enabled in (
+    ("dedupe_basic", PLAIN, Enabled(basic=True)),
+    ("dedupe_one_key", replace(PLAIN, match_criteria=("filename",)), Enabled(basic=True)),
+    ("dedupe_null_keys", replace(PLAIN, match_criteria=("description", "channels")), Enabled(basic=True)),
+    ("dedupe_similar_filename", SIMILAR, Enabled(basic=True, filename=True)),
+    ("dedupe_tagged", replace(SIMILAR, tags=("_ZQ_", "_TRB", *model.TAGS)), Enabled(basic=True, audiosuite=True)),
+    ("dedupe_names_and_tags", replace(SIMILAR, tags=("_ZQ_", "_TRB", *model.TAGS)), NAMES),
+    ("dedupe_with_type", replace(SIMILAR, ignore_filetype=False), NAMES),
+    ("dedupe_after_rules", replace(SIMILAR, autoselects=("_ZQ_",)), Enabled(basic=True, filename=True, filetags=True, duration=True, min_dur=3.0)),
+):
+
+    def _run(spark, d, prefs=_prefs, enabled=_enabled):
+        return _flags(dedupe.mark_duplicates(_rows_of(spark, d, prefs, enabled), prefs, enabled))
+
+    query(_name, _rows(_prefs, _enabled) + _dupes(_prefs, _enabled) + f" select id, root, {SHOWN} as algorithm from r1")(_run)
+
+for _op, _col, _var in (
+    ("Largest", "duration", ""), ("Smallest", "duration", ""), ("Is", "filename", "x"), ("IsNot", "channels", "2"), ("IsEmpty", "description", ""),
+    ("IsNotEmpty", "description", ""), ("Contains", "pathname", "VOLUMES"), ("DoesNotContain", "pathname", "volumes"),
+):
+    _prefs = replace(PLAIN, match_criteria=("channels",), preservation_order=(Rule(_col, _op, _var),))
+
+    def _run(spark, d, prefs=_prefs):
+        r = _rows_of(spark, d, prefs).join(catalog(spark, d).select(F.col("rowid").alias("id"), "library"), "id")
+        return dedupe.best_of_groups(r, "library", dedupe.preservation_keys(prefs))
+
+    _lib = ", best as (select r0.*, m.library, row_number() over (partition by m.library order by " + _order(_prefs).replace("id", "r0.id") + ") as i from r0 join justinmetadata m on m.rowid = r0.id)"
+    query(f"preserve_{_op.lower()}", _rows(_prefs, Enabled()) + _lib + " select library, id from best where i = 1 and library is not null")(_run)
+
+
+# fingerprints
+
+
+@query("exact_content", _rows(PLAIN, Enabled()) + _exact(PLAIN, "r0", "r1") + f" select id, root, {SHOWN} as algorithm from r1")
+def exact_content(spark, d):
+    return _flags(dedupe.mark_exact_content(_rows_of(spark, d), PLAIN))
+
+
+@query("pcm_groups", _rows(PLAIN, Enabled()) + _exact(PLAIN, "r0", "r1", " and starts_with(fingerprint, 'PCM:')") + f" select id, root, {SHOWN} as algorithm from r1")
+def pcm_groups(spark, d):
+    return _flags(dedupe.mark_exact_content(_rows_of(spark, d), PLAIN, only_hashes=True))
+
+
+_WORDS = r"""
+with ok as (select rowid as id, hex(from_base64(_fingerprint)) as h from justinmetadata where _fingerprint <> '' and
+    regexp_full_match(_fingerprint, '(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/][AQgw]==|[A-Za-z0-9+/]{2}[AEIMQUYcgkosw048]=)?')),
+pos as (select id, i, cast('0x' || substr(h, 8 * i + 7, 2) || substr(h, 8 * i + 5, 2) || substr(h, 8 * i + 3, 2) || substr(h, 8 * i + 1, 2) as bigint) as w
+    from (select id, h, unnest(range(length(h) // 8)) as i from ok)),
+fps as (select id, list(w order by i) as w from pos group by id)"""
+
+
+def _words(spark, d) -> DataFrame:
+    c = catalog(spark, d).filter(fingerprints.is_fingerprint(F.col("_fingerprint"))).select(F.col("rowid").alias("id"), "_fingerprint")
+    return fingerprints.with_words(c, "_fingerprint", "w").filter(F.size("w") > 0)
+
+
+@query("fingerprint_words", _WORDS + " select id, array_to_string(w, ',') as words from fps")
+def fingerprint_words(spark, d):
+    r = _words(spark, d)
+    return r.select("id", F.array_join(F.transform("w", lambda x: x.cast("string")), ",").alias("words"))
+
+
+@query(
+    "fingerprint_features",
+    _WORDS + """ select id, array_to_string(list_concat([xor(w[i] & 65535, w[i + 1] >> 16) & 65535 for i in range(1, len(w))],
+    [(w[i] & 255) | ((w[i + 3] & 255) << 8) for i in range(1, len(w) - 2)]), ',') as features from fps""",
+)
+def fingerprint_features(spark, d):
+    r = _words(spark, d)
+    return r.select("id", F.array_join(F.transform(fingerprints.features(F.col("w")), lambda x: x.cast("string")), ",").alias("features"))
+
+
+_PAIRS = _WORDS + """,
+keys as (select id, hash(i, w, lead(w) over (partition by id order by i)) as k, lead(w) over (partition by id order by i) as nx from pos),
+cand as (select distinct a.id as a, b.id as b from keys a join keys b on a.k = b.k and a.id < b.id and a.nx is not null and b.nx is not null),
+sim as (select a, b, list_sum([32 - bit_count(xor(x.w[i], y.w[i])) for i in range(1, least(len(x.w), len(y.w)) + 1)]) / (32.0 * least(len(x.w), len(y.w))) as s
+    from cand join fps x on x.id = cand.a join fps y on y.id = cand.b),
+pairs as (select a, b, s from sim where s >= 0.8)"""
+
+
+@query("similar_pairs", _PAIRS + " select a, b, round(s, 6) as similarity from pairs")
+def similar_pairs(spark, d):
+    return match.similar_pairs(_rows_of(spark, d), 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("similar_clusters")
+def similar_clusters(spark, d):
+    return _flags(match.mark_similar(dedupe.mark_exact_content(_rows_of(spark, d), PLAIN, only_hashes=True), PLAIN))
+
+
+@query("subset_clusters")
+def subset_clusters(spark, d):
+    return _flags(match.mark_subsets(_rows_of(spark, d), PLAIN))
+
+
+@query(
+    "landmark_match",
+    """with q as (select file_id as query_id, hash, time_offset as tq, count(*) as nq from fingerprints where file_id is not null and hash is not null and time_offset is not null and file_id % 50 = 0 group by 1, 2, 3),
+    x as (select file_id, hash, time_offset, count(*) as nx from fingerprints where file_id is not null and hash is not null and time_offset is not null group by 1, 2, 3),
+    v as (select query_id, file_id, time_offset - tq as delta, sum(nq * nx) as hits from q join x using (hash) where query_id <> file_id group by 1, 2, 3)
+    select query_id, file_id, delta, cast(hits as bigint) as hits from (select *, row_number() over (partition by query_id, file_id order by hits desc, delta) as i from v) where i = 1""",
+)
+def landmark_match(spark, d):
+    """Queries: the files whose id is divisible by 50, against all rows."""
+    x = table(spark, d, "fingerprints")
+    return landmarks.best_alignments(x.filter(F.col("file_id") % 50 == 0), x)
+
+
+# find, replace, edits
+
+
+
+@query("find_like", "select rowid as id, filename, 'Replace' as algorithm from justinmetadata where filename ilike '%wat_mi%so%'")
+def find_like(spark, d):
+    r = _rows_of(spark, d, replace(PLAIN, match_criteria=("filename",)))
+    return edit.find(r, F.col("c_filename"), "Wat_Mi%sO", False).select("id", F.col("c_filename").alias("filename"), shown_text(F.col("flags")).alias("algorithm"))
+
+
+@query("find_glob", "select rowid as id, filename, 'Replace' as algorithm from justinmetadata where filename glob '*[WF]*S?ft*0[1-5]*'")
+def find_glob(spark, d):
+    r = _rows_of(spark, d, replace(PLAIN, match_criteria=("filename",)))
+    return edit.find(r, F.col("c_filename"), "[WF]*S?ft*0[1-5]", True).select("id", F.col("c_filename").alias("filename"), shown_text(F.col("flags")).alias("algorithm"))
+
+
+@query("replace_text", "select rowid, case when description ilike '%Courtyard%' then replace(description, 'courtyard', 'patio') else description end as description from justinmetadata")
+def replace_text(spark, d):
+    return edit.replace_text(catalog(spark, d), "description", "courtyard", "patio", False, mark_dirty=True).select("rowid", "description")
+
+
+_HIT = "({c} is not null and contains({c}, 'Foley'))"
+
+
+@query(
+    "replace_path_family",
+    "select rowid, " + ", ".join(f"replace({c}, 'Foley', 'Folio') as {c}" for c in ("filename", "filepath", "pathname"))
+    + ", case when " + " or ".join(_HIT.format(c=c) for c in ("filename", "filepath", "pathname")) + " then 1 else _dirty end as _dirty from justinmetadata",
+)
+def replace_path_family(spark, d):
+    out = edit.replace_text(catalog(spark, d), "filepath", "Foley", "Folio", True, mark_dirty=True)
+    return out.select("rowid", "filename", "filepath", "pathname", "_dirty")
+
+
+@query("replace_side_table", "select replace(pathname, 'Foley', 'Folio') as pathname from justinrdb_pathname")
+def replace_side_table(spark, d):
+    return edit.replace_text(table(spark, d, "justinrdb_pathname"), "pathname", "Foley", "Folio", True).select("pathname")
+
+
+def _ids(spark, d) -> DataFrame:
+    return table(spark, d, "fingerprints").select(F.col("file_id").alias("rowid"))
+
+
+@query("delete_ids", "select rowid, filename from justinmetadata where rowid not in (select file_id from fingerprints where file_id is not null)")
+def delete_ids(spark, d):
+    return edit.delete_ids(catalog(spark, d).select("rowid", "filename"), _ids(spark, d))
+
+
+@query("mark_mono", "select rowid, case when s then 1 else channels end as channels, case when s then 1 else _dirty end as _dirty from (select *, rowid in (select file_id from fingerprints where file_id is not null) as s from justinmetadata)")
+def mark_mono(spark, d):
+    return edit.mark_mono(catalog(spark, d).select("rowid", "channels", "_dirty"), _ids(spark, d))
+
+
+_UPD = "(select file_id as rowid, max(cast(hash as varchar)) as v from fingerprints where file_id is not null group by 1)"
+
+
+@query("upsert_cache", f"select m.rowid, case when u.rowid is not null then u.v else _dualmono end as _dualmono from justinmetadata m left join {_UPD} u using (rowid)")
+def upsert_cache(spark, d):
+    u = table(spark, d, "fingerprints").select(F.col("file_id").alias("rowid"), F.col("hash").cast("string").alias("value"))
+    return edit.upsert(catalog(spark, d).select("rowid", "_dualmono"), u, "_dualmono")
+
+
+@query("unmatched_updates", "select distinct file_id as rowid from fingerprints where file_id is not null and file_id not in (select rowid from justinmetadata)")
+def unmatched_updates(spark, d):
+    return edit.unmatched_updates(catalog(spark, d), _ids(spark, d).dropna().distinct())
+
+
+@query("drop_column", "select * exclude (_fingerprint, _dualmono, modificationdate) from justinmetadata")
+def drop_column(spark, d):
+    return edit.drop_column(edit.drop_column(edit.drop_column(catalog(spark, d), "_fingerprint"), "_dualmono"), "modificationdate")
+
+
+@query("column_list", "select column_name from (describe justinmetadata) where not starts_with(column_name, '_')")
+def column_list(spark, d):
+    return spark.createDataFrame([(c,) for c in visible_columns(catalog(spark, d))], "column_name string")
+
+
+@query("records_size", _rows(PLAIN, Enabled(duration=True, min_dur=2.0)) + " select count(*) as rows, count(*) filter (not keep) as without_keep from r0")
+def records_size(spark, d):
+    f = F.col("flags")
+    return _rows_of(spark, d, PLAIN, Enabled(duration=True, min_dur=2.0)).agg(F.count(F.lit(1)).alias("rows"), F.count_if(~model.has(f, "Keep")).alias("without_keep"))
+
+
+# results
+
+_BASE = Enabled(basic=True, filename=True, duration=True, min_dur=1.0)
+_BASE_SQL = _rows(SIMILAR, _BASE) + _dupes(SIMILAR, _BASE)
+_COUNT = "(wave::int + keep::int + dual::int + repl::int + dur::int + inv::int + ftag::int + tag::int + cmp::int + simaudio::int + simname::int + basic::int)"
+_SELECTED = "(select file_id from fingerprints where file_id is not null)"
+
+
+def _base(spark, d) -> DataFrame:
+    return dedupe.mark_duplicates(_rows_of(spark, d, SIMILAR, _BASE), SIMILAR, _BASE)
+
+
+def _selection(spark, d) -> DataFrame:
+    return _ids(spark, d).select(F.col("rowid").alias("id")).dropna()
+
+
+for _name, _where in (
+    ("All", "true"), ("Keep", "keep"), ("Remove", "not keep"), ("Relevant", f"not keep or {_COUNT} > 1"), ("basic", "basic"), ("filename", "simname"),
+    ("duration", "dur"), ("waveform", "wave or simaudio"),
+):
+
+    def _run(spark, d, name=_name):
+        return _flags(views.filtered(_base(spark, d), name))
+
+    query(f"filter_{_name.lower()}", _BASE_SQL + f" select id, root, {SHOWN} as algorithm from r1 where {_where}")(_run)
+
+
+@query("filter_relevant_of_none", _rows(PLAIN, Enabled()) + f" select id, root, {SHOWN} as algorithm from r0")
+def filter_relevant_of_none(spark, d):
+    return _flags(views.filtered(_rows_of(spark, d), "Relevant"))
+
+
+@query("filter_equal", "select rowid, filename from justinmetadata where channels = 6")
+def filter_equal(spark, d):
+    return views.where_equal(catalog(spark, d), "channels", 6).select("rowid", "filename")
+
+
+@query("removal_counts", _BASE_SQL + f" select count(*) filter (not keep) as to_remove, count(*) filter (not keep and id in {_SELECTED}) as selected_to_remove from r1")
+def removal_counts(spark, d):
+    return views.removal_counts(_base(spark, d), _selection(spark, d))
+
+
+@query("selection_invert", _BASE_SQL + f" select id from r1 where not keep and id not in {_SELECTED}")
+def selection_invert(spark, d):
+    return views.inverted(views.filtered(_base(spark, d), "Remove"), _selection(spark, d))
+
+
+@query("selection_toggle", _BASE_SQL + f", s as (select distinct file_id as id from fingerprints where file_id is not null), t as (select id from r1 where not keep) select id from (select * from s union all select * from t) group by id having count(*) = 1")
+def selection_toggle(spark, d):
+    return views.toggled(_selection(spark, d), views.filtered(_base(spark, d), "Remove"))
+
+
+@query("toggle_checks", _BASE_SQL + f", t as (select * replace (case when id in {_SELECTED} then not keep else keep end as keep) from r1) select id, root, {SHOWN} as algorithm from t")
+def toggle_checks(spark, d):
+    return _flags(views.edited(_base(spark, d), _selection(spark, d), "toggle"))
+
+
+@query("work_list", _BASE_SQL + f" select id, file_path, 'remove' as action from r1 where not keep and id in {_SELECTED}")
+def work_list(spark, d):
+    return views.work_list(_base(spark, d), _selection(spark, d))
+
+
+_FULL_SQL = (
+    _rows(FULL_PREFS, FULL) + _dupes(FULL_PREFS, FULL)
+    + ", r2 as (select * replace (coalesce(_dualmono = '1', false) and not inv as dual) from r1)"
+    + _exact(FULL_PREFS, "r2", "r3")
+)
+
+
+@query("search_pipeline", _FULL_SQL + f" select id, parent as path, root, file_name as filename, {SHOWN} as algorithm, channels, bitdepth, samplerate, duration, description from r3")
+def search_pipeline(spark, d):
+    """Every stage but the reading of audio, on the whole catalog."""
+    there = table(spark, d, "compare_catalog").select(F.col("filepath").alias("file_path"))
+    return views.result_rows(search(catalog(spark, d), FULL, FULL_PREFS, table(spark, d, "compare_catalog"), there))
+
+
+QUERIES |= {"p3_found": normalise_instants.p3_found, "p3_status_report": normalise_instants.p3_status_report}
