@@ -315,7 +315,8 @@ pairs as (select a, b, s from sim where s >= 0.8)"""
 
 @query("similar_pairs", _PAIRS + " select a, b, round(s, 6) as similarity from pairs")
 def similar_pairs(spark, d):
-    return match.similar_pairs(_rows_of(spark, d), 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    r = catalog(spark, d).select(F.col("rowid").alias("id"), F.col("_fingerprint").alias("fingerprint"))
+    return match.similar_pairs(r, 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("similar_clusters")
