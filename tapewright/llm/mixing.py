@@ -56,7 +56,7 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     stage = stage or Stage(spark, "mix")
     n = token_count(F.col(text), tokenizer)
-    sized = stage.put(docs.select(F.col(key).alias("k"), F.col(source).alias("s"), n.alias("n")).filter("n > 0 and s is not null"))
+    sized = stage.put(docs.select(F.col(key).alias("k"), F.col(source).alias("s"), n.alias("n")).filter("s is not null")).filter("n > 0")
     goal = targets.filter(F.col("source").isNotNull()).groupBy("source").agg(F.sum("target_share").alias("w"), F.min("max_repeats").alias("r"))
     have = sized.groupBy("s").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     plan = goal.join(have, goal["source"] == have["s"], "left").orderBy("source").collect()
