@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapewright.functions.bind import bind
 
@@ -137,14 +138,14 @@ def is_subset(short: np.ndarray, long: np.ndarray, threshold: float) -> bool:
     return best >= least
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def subset_of(short: pd.Series, long: pd.Series, threshold: pd.Series) -> pd.Series:
     """``is_subset`` for pairs of word arrays; false for nulls."""
     words = lambda x: np.asarray(x, np.int64).astype(np.uint32)
     return pd.Series([a is not None and b is not None and is_subset(words(a), words(b), t) for a, b, t in zip(short, long, threshold, strict=True)], dtype=bool)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def flexible(a: pd.Series, b: pd.Series) -> pd.Series:
     words = lambda x: np.asarray(x, np.int64).astype(np.uint32)
     return pd.Series([flexible_similarity(words(x), words(y)) if x is not None and y is not None else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
