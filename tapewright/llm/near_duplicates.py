@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapewright.functions.durations import readable_seconds
 from tapewright.operators.stage import Stage
@@ -22,7 +23,7 @@ BUCKET = 64
 _SEED = 20_240_607
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def sorted_words(s: pd.Series) -> pd.Series:
     """Little-endian words of base64 texts, sorted; left-over bytes are dropped. Null if there is no word."""
 
@@ -58,7 +59,7 @@ def _elements(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return _mix(words + (occurrence << np.uint64(32)) + np.uint64(_SEED))
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def band_hashes(s: pd.Series) -> pd.Series:
     """One hash for each band of MinHashes; rows are sorted words and never empty."""
     if not len(s):
@@ -77,7 +78,7 @@ def band_hashes(s: pd.Series) -> pd.Series:
     return pd.Series(list(out.view(np.int64)))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def similar(a: pd.Series, b: pd.Series, tenths: pd.Series) -> pd.Series:
     """Multiset intersection / union at least ``tenths``/10, in whole numbers."""
     if not len(a):
@@ -94,7 +95,7 @@ def similar(a: pd.Series, b: pd.Series, tenths: pd.Series) -> pd.Series:
     return pd.Series(10 * inter >= tenths.to_numpy() * (sa + sb - inter))
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def elements(s: pd.Series) -> pd.Series:
     if not len(s):
         return pd.Series([], dtype=object)
