@@ -23,7 +23,7 @@ def word_rows(rows: DataFrame, stage: Stage) -> DataFrame:
 
 def _meetings(keys: DataFrame, stage: Stage) -> DataFrame:
     """a < b that share a key; keys: (key, id), distinct. No task sees more than GROUP ids of a key."""
-    half = GROUP // 2
+    half = max(1, GROUP // 2)
     sizes = stage.put(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     few = keys.join(sizes.filter(F.col("n") <= GROUP), "key").groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("m"))
     each = F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, F.lit(GROUP)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
