@@ -112,7 +112,7 @@ def _pairs_in(groups: DataFrame, group: str) -> DataFrame:
 
 def _blocks(groups: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
     """a < b of groups of any size, in square blocks of BUCKET/2 by BUCKET/2, each a group of its own."""
-    half = BUCKET // 2
+    half = max(1, BUCKET // 2)
     g = groups.join(sizes.withColumn("_g", F.ceil(F.col("_k") / half).cast("int")), group)
     g = g.withColumn("_c", F.pmod(F.xxhash64("cid"), F.col("_g")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda o: F.struct(F.least("_c", o).alias("i"), F.greatest("_c", o).alias("j")))
