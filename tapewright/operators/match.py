@@ -87,11 +87,18 @@ def mark_similar(rows: DataFrame, prefs: Preferences, stage: Stage | None = None
 
 def subset_pairs(rows: DataFrame, threshold: float, stage: Stage | None = None) -> DataFrame:
     """child, parent: fingerprints that occur in one that stands before them (longer duration, then more channels, then
-    smaller id; an unreadable duration is 0). Candidates have a word in common."""
+    smaller id; an unreadable duration is 0).
+
+    Candidates have two words in common that are at most three places apart, at the same distance, anywhere; one-word
+    fingerprints have none, as they are in no other by the rules. A pair that reaches the threshold with fewer equal words
+    is alike by chance bits only and is not looked for. Candidates are verified by all windows.
+    """
     stage = stage or Stage(rows.sparkSession, "subset")
     order = rows.select("id", F.coalesce(split_seconds(F.col("duration")), F.lit(0.0)).alias("s"), F.coalesce("channels", F.lit(0)).alias("ch"))
     w = stage.put(word_rows(rows, stage).join(order, "id").select("id", "s", "ch", "w"))
-    pairs = _meetings(stage.put(w.select(F.explode(F.array_distinct("w")).alias("key"), "id")), stage)
+    near = lambda d: F.when(F.size("w") > d, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - d, F.lit(1))), lambda i: F.xxhash64(F.lit(d), F.element_at("w", i), F.element_at("w", i + d)))).otherwise(F.array().cast("array<bigint>"))
+    keys = w.select(F.explode(F.array_distinct(F.concat(*map(near, (1, 2, 3))))).alias("key"), "id")
+    pairs = _meetings(stage.put(keys), stage)
     side = lambda n: w.select(F.col("id").alias(n), F.struct((-F.col("s")).alias("s"), (-F.col("ch")).alias("c"), F.col("id").alias("i")).alias(f"o{n}"), F.col("w").alias(f"w{n}"))
     d = pairs.join(side("a"), "a").join(side("b"), "b")
     first = F.col("oa") < F.col("ob")
