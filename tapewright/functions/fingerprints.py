@@ -118,6 +118,8 @@ def is_subset(short: np.ndarray, long: np.ndarray, threshold: float) -> bool:
         p = short[:-1] & short[1:]
         return bool(len(p)) and float(np.isin(long[:-1] & long[1:], p).sum()) / len(p) >= least
     step = max(1, m // (200 if m > 1000 else 400))
+    mine, theirs = np_features(short), np.isin(np_features(long), np_features(short)).astype(np.int64)
+    two, four = (np.concatenate(([0], np.cumsum(x))) for x in (theirs[: m - 1], theirs[m - 1 :]))
     best = 0.0
     for size in dict.fromkeys(int(n * f) if f != 1 else n for f in WINDOWS):
         if size > m or not size:
@@ -128,11 +130,12 @@ def is_subset(short: np.ndarray, long: np.ndarray, threshold: float) -> bool:
             if best > SURE:
                 return True
             continue
-        mine = np_features(short)
-        for start in range(0, m - size + 1, step):
-            theirs = np_features(long[start : start + size])
-            if len(theirs):
-                best = max(best, lcs_length(mine, theirs) / min(len(mine), len(theirs)))
+        starts = np.arange(0, m - size + 1, step)
+        # items of a window that occur in ``short`` at all bound the common subsequence
+        most = two[starts + size - 1] - two[starts] + (four[starts + size - 3] - four[starts] if size >= 4 else 0)
+        room = min(len(mine), size - 1 + max(0, size - 3))
+        for start in starts[most >= least * room] if room else ():
+            best = max(best, lcs_length(mine, np_features(long[start : start + size])) / room)
             if best > SURE:
                 return True
     return best >= least

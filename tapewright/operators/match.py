@@ -104,7 +104,8 @@ def subset_pairs(rows: DataFrame, threshold: float, stage: Stage | None = None)
     first = F.col("oa") < F.col("ob")
     pick = lambda x, y: F.when(first, x).otherwise(y)
     d = d.select(pick(F.col("b"), F.col("a")).alias("child"), pick(F.col("a"), F.col("b")).alias("parent"), pick(F.col("wb"), F.col("wa")).alias("short"), pick(F.col("wa"), F.col("wb")).alias("long"), pick(F.col("ob"), F.col("oa")).alias("co"), pick(F.col("oa"), F.col("ob")).alias("po"))
-    d = d.filter(F.size("short") <= F.size("long"))
+    # few bytes, much work: as many tasks as the cluster runs, which AQE leaves alone
+    d = d.filter(F.size("short") <= F.size("long")).repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return d.filter(subset_of("short", "long", F.lit(threshold / 100 * 0.9))).select("child", "parent", "co", "po")
 
 

@@ -180,6 +180,40 @@ def test_subset(spark):
     assert words(spark, [5, 7, 9], [5, 7, 9, 1]).select(fp.feature_ratio(F.col("w0"), F.col("w1")), fp.feature_ratio(F.array(F.lit(1)), F.col("w1"))).first()[0] >= 1
 
 
+def plain_subset(short, long, threshold):
+    """The rule, window by window."""
+    n, m = len(short), len(long)
+    if not n or n > m:
+        return False
+    least = threshold * (0.75 if n < 30 else 0.8 if n < 60 else 0.85)
+    if n < 15:
+        return n > 1 and sum((x & y) in {a & b for a, b in zip(short, short[1:], strict=False)} for x, y in zip(long, long[1:], strict=False)) / (n - 1) >= least
+    best = 0.0
+    for size in (n, int(n * 1.1), int(n * 0.9), int(n * 1.2), int(n * 0.8)):
+        for start in range(0, m - size + 1, max(1, m // (200 if m > 1000 else 400))):
+            w = long[start : start + size]
+            if size == n:
+                sim = sum(32 - (int(x) ^ int(y)).bit_count() for x, y in zip(short, w, strict=True)) / (32 * n)
+            else:
+                a, b = fp.np_features(short).tolist(), fp.np_features(w).tolist()
+                sim = lcs(a, b) / min(len(a), len(b))
+            best = max(best, sim)
+    return best > 0.9 or best >= least
+
+
+def test_subset_against_the_rule():
+    rng, seen = np.random.default_rng(7), set()
+    for k in range(40):
+        long = rng.integers(1 << 32, size=rng.integers(10, 70), dtype=np.uint64).astype(np.uint32)
+        short = long[3 : 3 + rng.integers(5, 45)].copy()
+        short[rng.random(len(short)) < k / 45] = 3
+        short = np.delete(short, rng.integers(len(short), size=k % 4)) if len(short) > 6 else short
+        got = fp.is_subset(short, long, 0.72)
+        assert got == plain_subset(short, long, 0.72)
+        seen.add(got)
+    assert seen == {True, False}
+
+
 def encoded(w):
     import base64
 
