@@ -50,7 +50,8 @@ def similar_pairs(rows: DataFrame, threshold: float, stage: Stage | None = None)
     w = word_rows(rows, stage)
     at = lambda i: F.element_at("w", i)
     two = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.xxhash64(i, at(i), at(i + 1)))).otherwise(F.array().cast("array<bigint>"))
-    keys = w.select(F.explode(F.concat(two, F.array(F.xxhash64(F.lit("only"), F.when(F.size("w") == 1, at(1)))))).alias("key"), "id")
+    keys = w.select(F.explode(two).alias("key"), "id")
+    # fingerprints of one word meet, by it, all that begin with the same one
     shortest = w.filter(F.size("w") == 1).select(at(F.lit(1)).alias("one")).distinct()
     only = w.join(shortest, at(F.lit(1)) == F.col("one"), "left_semi").select(F.xxhash64(F.lit("first"), at(F.lit(1))).alias("key"), "id")
     pairs = _meetings(stage.put(keys.unionByName(only).distinct()), stage)

@@ -324,11 +324,6 @@ def similar_clusters(spark, d):
     return _flags(match.mark_similar(dedupe.mark_exact_content(_rows_of(spark, d), PLAIN, only_hashes=True), PLAIN))
 
 
-@query("subset_clusters")
-def subset_clusters(spark, d):
-    return _flags(match.mark_subsets(_rows_of(spark, d), PLAIN))
-
-
 @query(
     "landmark_match",
     """with q as (select file_id as query_id, hash, time_offset as tq, count(*) as nq from fingerprints where file_id is not null and hash is not null and time_offset is not null and file_id % 50 = 0 group by 1, 2, 3),
