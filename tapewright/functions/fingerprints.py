@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import ceil, sqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +22,14 @@ SUBSET_FACTOR_LONG, SURE = 0.85, 0.9
 WINDOWS = (1.0, 1.1, 0.9, 1.2, 0.8)
 LCS_CELLS, LCS_SHARE = 1_000_000, 0.8
 
+# Sizes of the matrices in which all pairs are compared; they bound memory and decide no result.
+ROWS, DEPTH, CHECKED = 1024, 128, 1 << 15
+
+
+def word_bytes(c: Column) -> Column:
+    """The bytes of the words of strict base64, to be read by ``words_of``; null as in ``with_words``."""
+    return F.unbase64(F.when(c.rlike(BASE64), c))
+
 
 def is_fingerprint(c: Column) -> Column:
     """Neither null, empty nor FAILED."""
@@ -141,6 +152,85 @@ def is_subset(short: np.ndarray, long: np.ndarray, threshold: float) -> bool:
     return best >= least
 
 
+# all pairs of two sets at once: bits as 1 and -1, so that a matrix product counts equal minus unequal bits
+
+
+def words_of(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<u4", len(b) // 4)
+
+
+def _signs(w: np.ndarray) -> np.ndarray:
+    """A row of 32 signs for each word, along the last axis."""
+    bits = np.unpackbits(np.ascontiguousarray(w).view(np.uint8), axis=-1).astype(np.float32)
+    bits *= 2
+    bits -= 1
+    return bits
+
+
+def _padded_signs(w: np.ndarray, n: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Signs of the words from ``start`` to ``end``; 0 where a row of ``n`` words has none."""
+    s = _signs(w[:, start:end])
+    if n.min() < end:
+        s.reshape(len(w), -1, 32)[np.arange(start, start + s.shape[1] // 32) >= n[:, None]] = 0
+    return s
+
+
+def _padded(words: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of at most ``ROWS`` rows, shortest first: their indexes, lengths, and words in a matrix padded with zeros."""
+    n = np.array([len(x) for x in words], np.int64)
+    order, out = np.argsort(n, kind="stable"), []
+    for at in range(0, len(order), ROWS):
+        rows = order[at : at + ROWS]
+        w = np.zeros((len(rows), n[rows[-1]]), np.uint32)
+        for k, r in enumerate(rows):
+            w[k, : n[r]] = words[r]
+        out.append((rows, n[rows], w))
+    return out
+
+
+def all_similar(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Indexes in ``a`` and in ``b``, and similarity, of all pairs that reach ``threshold``; without ``b`` each two of ``a`` once.
+    No array is empty of words.
+
+    The first words decide most pairs: what the others could add at most is granted before a pair is left out. The rest
+    are counted on all words that both have.
+    """
+    mine = _padded(a)
+    others = mine if b is None else _padded(b)
+    for x, (ra, na, wa) in enumerate(mine):
+        signs: dict[tuple[int, int], np.ndarray] = {}
+        for rb, nb, wb in others[x:] if b is None else others:
+            most = int(min(na[-1], nb[-1]))
+            decisive = max(0.0, 2 - 2 * threshold) * most
+            k = min(most, max(1, ceil(decisive + 0.6 * sqrt(decisive) + 0.5)))
+            dot = np.zeros((len(ra), len(rb)), np.float32)
+            for start in range(0, k, DEPTH):
+                span = start, min(k, start + DEPTH)
+                if span not in signs:
+                    if len(signs) > 3:
+                        signs.clear()
+                    signs[span] = _padded_signs(wa, na, *span)
+                dot += signs[span] @ _padded_signs(wb, nb, *span).T
+            n = na[:, None] if na[-1] <= nb[0] else nb[None, :] if nb[-1] <= na[0] else np.minimum(na[:, None], nb[None, :])
+            least = 32 * n * (2 * threshold - 1) - 32 * np.maximum(0, n - k) - 1  # -1 for rounding
+            found = np.flatnonzero(dot >= least.astype(np.float32))
+            for at in range(0, len(found), CHECKED):
+                i, j = np.divmod(found[at : at + CHECKED], len(rb))
+                if rb is ra:
+                    i, j = i[i < j], j[i < j]
+                n = np.minimum(na[i], nb[j])
+                if not len(n):
+                    continue
+                same = np.zeros(len(n), np.int64)
+                for start in range(0, int(n.max()), DEPTH):
+                    end = min(start + DEPTH, int(n.max()))
+                    same += np.where(np.arange(start, end) < n[:, None], _bits(wa[i, start:end], wb[j, start:end]), 0).sum(1, dtype=np.int64)
+                s = same / (32 * n)
+                ok = s >= threshold
+                if ok.any():
+                    yield ra[i[ok]], rb[j[ok]], s[ok]
+
+
 @F.pandas_udf(T.BooleanType())
 def subset_of(short: pd.Series, long: pd.Series, threshold: pd.Series) -> pd.Series:
     """``is_subset`` for pairs of word arrays; false for nulls."""

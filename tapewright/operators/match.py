@@ -2,61 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from math import ceil, sqrt
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions.durations import split_seconds
-from tapewright.functions.fingerprints import is_fingerprint, similarity, subset_of, with_words
+from tapewright.functions.fingerprints import all_similar, is_fingerprint, subset_of, with_words, word_bytes, words_of
 from tapewright.operators.dedupe import mark_groups, preservation_keys
 from tapewright.operators.model import BIT, Preferences, add, drop
 from tapewright.operators.stage import Stage
 
+#: Fingerprints are cut into sets of about so many at least, and of so many bytes at most; each two sets are compared in one task.
+GROUP, SET_BYTES = 1024, 1 << 26
+
 #: Up to so many fingerprints that agree in a key are compared in one group; larger groups are cut into square blocks.
-GROUP = 64
+KEY_GROUP = 64
 
 
-def word_rows(rows: DataFrame, stage: Stage) -> DataFrame:
+def array_rows(rows: DataFrame, stage: Stage) -> DataFrame:
     """id, w (words, at least one) of decodable fingerprints."""
     d = with_words(rows.filter(is_fingerprint(F.col("fingerprint"))).select("id", "fingerprint"), "fingerprint", "w")
     return stage.put(d.select("id", "w").filter(F.size("w") > 0))
 
 
-def _meetings(keys: DataFrame, stage: Stage) -> DataFrame:
-    """a < b that share a key; keys: (key, id), distinct. No task sees more than GROUP ids of a key."""
-    half = max(1, GROUP // 2)
-    sizes = stage.put(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    few = keys.join(sizes.filter(F.col("n") <= GROUP), "key").groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("m"))
-    each = F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, F.lit(GROUP)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
-    pairs = few.select(F.explode(F.flatten(each)).alias("p")).select("p.*")
-    many = keys.join(sizes.filter(F.col("n") > GROUP), "key").withColumn("g", F.ceil(F.col("n") / half).cast("int"))
-    many = many.withColumn("c", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))
-    cells = many.select("key", "id", "c", F.explode(cells).alias("cell"))
-    x, y = (cells.select("key", "cell", F.col("id").alias(n), F.col("c").alias(f"c{n}")) for n in ("a", "b"))
-    across = x.join(y, ["key", "cell"]).filter((F.col("a") < F.col("b")) & ((F.col("cell.i") != F.col("cell.j")) == (F.col("ca") != F.col("cb"))))
-    return pairs.unionByName(across.select("a", "b")).distinct()
+def word_rows(rows: DataFrame, stage: Stage) -> DataFrame:
+    """id, w (bytes of the words, at least one) of decodable fingerprints."""
+    d = rows.filter(is_fingerprint(F.col("fingerprint"))).select("id", word_bytes(F.col("fingerprint")).alias("w"))
+    return stage.put(d.filter(F.col("id").isNotNull() & (F.length("w") >= 4)))
+
+
+def _meetings(w: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame | None], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """What ``compare`` yields for each two of the sets that the rows (with ``id`` and bytes ``w``) are cut into, and for each
+    set with itself (second argument None). So each pair of rows meets once, in work of equal shares."""
+    spark = w.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n, size = w.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("w")), F.lit(0))).first()
+    sets = max(1, min(ceil(sqrt(4 * tasks)), ceil(n / GROUP)), ceil(size / SET_BYTES))
+    own = F.pmod(F.xxhash64("id"), F.lit(sets)).cast("int")
+    d = w.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    d = d.select("*", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).drop("other")
+    d = d.withColumn("cell", (F.col("high") * (F.col("high") + 1) / 2 + F.col("low")).cast("int"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = list(batches)
+        if got:
+            for (a, b), cell in pd.concat(got, ignore_index=True).groupby(["low", "high"]):
+                yield from compare(cell[cell["own"] == a], None if a == b else cell[cell["own"] == b])
+
+    return d.repartitionById(sets * (sets + 1) // 2, F.col("cell")).drop("cell").mapInPandas(run, schema)
 
 
 def similar_pairs(rows: DataFrame, threshold: float, stage: Stage | None = None) -> DataFrame:
     """a, b (a < b), similarity: decodable fingerprints that are alike by at least ``threshold`` in bits over the words
     that both have.
 
-    Candidates agree in two neighbouring words at the same place (or in the only word that one of them has). That finds
-    every pair of which more than half of the compared words are equal, which at 0.8 holds whenever the other words agree
-    by chance; for pairs that are alike in bits but equal in few words it is a filter, with the recall that the tests
-    measure. Candidates are verified on all words.
+    All pairs are compared, in blocks: a rule on bits leaves no key that alike fingerprints must share. At 0.8 a part of
+    18 bits, as many as tell 300,000 fingerprints apart, may differ in 3; to look up all such parts takes about as much
+    as to compare all.
     """
     stage = stage or Stage(rows.sparkSession, "similar")
-    w = word_rows(rows, stage)
-    at = lambda i: F.element_at("w", i)
-    two = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.xxhash64(i, at(i), at(i + 1)))).otherwise(F.array().cast("array<bigint>"))
-    keys = w.select(F.explode(two).alias("key"), "id")
-    # fingerprints of one word meet, by it, all that begin with the same one
-    shortest = w.filter(F.size("w") == 1).select(at(F.lit(1)).alias("one")).distinct()
-    only = w.join(shortest, at(F.lit(1)) == F.col("one"), "left_semi").select(F.xxhash64(F.lit("first"), at(F.lit(1))).alias("key"), "id")
-    pairs = _meetings(stage.put(keys.unionByName(only).distinct()), stage)
-    d = pairs.join(w.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(w.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-    return d.withColumn("similarity", similarity(F.col("wa"), F.col("wb"))).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
+        words = lambda d: [words_of(b) for b in d["w"]]
+        ids = x["id"].to_numpy(), (x if y is None else y)["id"].to_numpy()
+        for i, j, s in all_similar(words(x), None if y is None else words(y), threshold):
+            a, b = ids[0][i], ids[1][j]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s})
+
+    return _meetings(word_rows(rows, stage), compare, "a bigint, b bigint, similarity double")
 
 
 def clusters(pairs: DataFrame, stage: Stage) -> DataFrame:
@@ -81,11 +98,27 @@ def mark_similar(rows: DataFrame, prefs: Preferences, stage: Stage | None = None
     the links, so that no order of the rows matters; they have no cap."""
     stage = stage or Stage(rows.sparkSession, "similar")
     rows = stage.put(rows)
-    c = clusters(similar_pairs(rows, prefs.similarity_threshold / 100, stage), stage)
+    c = clusters(stage.put(similar_pairs(rows, prefs.similarity_threshold / 100, stage)), stage)  # stored: it is read twice
     own = rows.columns
     return mark_groups(rows.join(c, "id", "left"), [F.col("cluster")], F.lit(BIT["SimilarAudio"]), preservation_keys(prefs), reset=False).select(*own)
 
 
+def _sharing(keys: DataFrame, stage: Stage) -> DataFrame:
+    """a < b that share a key; keys: (key, id), distinct. No task sees more than KEY_GROUP ids of a key."""
+    half = max(1, KEY_GROUP // 2)
+    sizes = stage.put(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    few = keys.join(sizes.filter(F.col("n") <= KEY_GROUP), "key").groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("m"))
+    each = F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, F.lit(KEY_GROUP)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    pairs = few.select(F.explode(F.flatten(each)).alias("p")).select("p.*")
+    many = keys.join(sizes.filter(F.col("n") > KEY_GROUP), "key").withColumn("g", F.ceil(F.col("n") / half).cast("int"))
+    many = many.withColumn("c", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))
+    cells = many.select("key", "id", "c", F.explode(cells).alias("cell"))
+    x, y = (cells.select("key", "cell", F.col("id").alias(n), F.col("c").alias(f"c{n}")) for n in ("a", "b"))
+    across = x.join(y, ["key", "cell"]).filter((F.col("a") < F.col("b")) & ((F.col("cell.i") != F.col("cell.j")) == (F.col("ca") != F.col("cb"))))
+    return pairs.unionByName(across.select("a", "b")).distinct()
+
+
 def subset_pairs(rows: DataFrame, threshold: float, stage: Stage | None = None) -> DataFrame:
     """child, parent: fingerprints that occur in one that stands before them (longer duration, then more channels, then
     smaller id; an unreadable duration is 0).
@@ -96,10 +129,10 @@ def subset_pairs(rows: DataFrame, threshold: float, stage: Stage | None = None)
     """
     stage = stage or Stage(rows.sparkSession, "subset")
     order = rows.select("id", F.coalesce(split_seconds(F.col("duration")), F.lit(0.0)).alias("s"), F.coalesce("channels", F.lit(0)).alias("ch"))
-    w = stage.put(word_rows(rows, stage).join(order, "id").select("id", "s", "ch", "w"))
+    w = stage.put(array_rows(rows, stage).join(order, "id").select("id", "s", "ch", "w"))
     near = lambda d: F.when(F.size("w") > d, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - d, F.lit(1))), lambda i: F.xxhash64(F.lit(d), F.element_at("w", i), F.element_at("w", i + d)))).otherwise(F.array().cast("array<bigint>"))
     keys = w.select(F.explode(F.array_distinct(F.concat(*map(near, (1, 2, 3))))).alias("key"), "id")
-    pairs = _meetings(stage.put(keys), stage)
+    pairs = _sharing(stage.put(keys), stage)
     side = lambda n: w.select(F.col("id").alias(n), F.struct((-F.col("s")).alias("s"), (-F.col("ch")).alias("c"), F.col("id").alias("i")).alias(f"o{n}"), F.col("w").alias(f"w{n}"))
     d = pairs.join(side("a"), "a").join(side("b"), "b")
     first = F.col("oa") < F.col("ob")
