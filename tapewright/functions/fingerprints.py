@@ -23,7 +23,7 @@ WINDOWS = (1.0, 1.1, 0.9, 1.2, 0.8)
 LCS_CELLS, LCS_SHARE = 1_000_000, 0.8
 
 # Sizes of the matrices in which all pairs are compared; they bound memory and decide no result.
-ROWS, DEPTH, CHECKED = 1024, 128, 1 << 15
+ROWS, DEPTH, CHECKED, FLOATS = 1024, 128, 1 << 15, 1 << 23
 
 
 def word_bytes(c: Column) -> Column:
@@ -231,11 +231,71 @@ def all_similar(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: floa
                     yield ra[i[ok]], rb[j[ok]], s[ok]
 
 
-@F.pandas_udf(T.BooleanType())
-def subset_of(short: pd.Series, long: pd.Series, threshold: pd.Series) -> pd.Series:
-    """``is_subset`` for pairs of word arrays; false for nulls."""
-    words = lambda x: np.asarray(x, np.int64).astype(np.uint32)
-    return pd.Series([a is not None and b is not None and is_subset(words(a), words(b), t) for a, b, t in zip(short, long, threshold, strict=True)], dtype=bool)
+def all_subsets(shorts: list[np.ndarray], longs: list[np.ndarray], after: np.ndarray, before: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes in ``shorts`` and ``longs`` of all pairs that ``is_subset`` accepts, of those with a greater number in ``after``
+    than in ``before``.
+
+    Windows of the same size are counted by matrix products. The other sizes can only reach the threshold if enough
+    features of the longer array occur in the shorter one at all; those pairs are given to ``is_subset``.
+    """
+    order = np.array(sorted(range(len(longs)), key=lambda j: len(longs[j])), np.int64)
+    m = np.array([len(longs[j]) for j in order], np.int64)
+    theirs = [longs[j] for j in order]
+    pieces = {}
+    for name, of in (("features", np_features), ("patterns", lambda w: w[:-1] & w[1:])):
+        parts = [np.asarray(of(w), np.uint32) for w in theirs]
+        ends = np.cumsum([0, *map(len, parts)])
+        pieces[name] = (np.concatenate(parts) if parts else np.empty(0, np.uint32)), ends
+
+    def hits(name: str, own: np.ndarray, start: int) -> np.ndarray:
+        """Items of each longer array, from number ``start`` on, that occur in ``own``."""
+        items, ends = pieces[name]
+        there = np.cumsum(np.concatenate(([0], own[items[ends[start] :]] if name == "features" else np.isin(items[ends[start] :], own))), dtype=np.int64)
+        at = ends[start:] - ends[start]
+        return there[at[1:]] - there[at[:-1]]
+
+    by_length: dict[int, list[int]] = {}
+    for i, w in enumerate(shorts):
+        by_length.setdefault(len(w), []).append(i)
+    for n, group in by_length.items():
+        start = int(np.searchsorted(m, n))
+        if n == 0 or start == len(m):
+            continue
+        least = threshold * next((f for below, f in SUBSET_FACTORS if n < below), SUBSET_FACTOR_LONG)
+        stands = after[group][:, None] > before[order[start:]][None, :]
+        if n < 15:
+            for i, ok in zip(group, stands, strict=True):
+                p = shorts[i][:-1] & shorts[i][1:]
+                js = np.flatnonzero(ok & (hits("patterns", p, start) / len(p) >= least)) if len(p) else ()
+                if len(js):
+                    yield np.full(len(js), i), order[start + js]
+            continue
+        own = _signs(np.stack([shorts[i] for i in group])).reshape(len(group), -1)
+        accepted = np.zeros(stands.shape, bool)
+        at = start
+        while at < len(m):
+            begins, firsts, texts, size, count, to = [], [], [], 0, 0, at
+            while to < len(m) and (to == at or (size + m[to]) * 32 * n <= FLOATS):
+                step = max(1, int(m[to]) // (200 if m[to] > 1000 else 400))
+                firsts.append(count)
+                begins.append(size + np.arange(0, m[to] - n + 1, step))
+                count += len(begins[-1])
+                texts.append(theirs[to])
+                size, to = size + int(m[to]), to + 1
+            signs = _signs(np.concatenate(texts)[:, None])
+            windows = signs[np.concatenate(begins)[:, None] + np.arange(n)].reshape(-1, 32 * n)
+            best = (np.maximum.reduceat(own @ windows.T, firsts, axis=1).astype(np.float64) + 32 * n) / 2 / (32 * n)
+            accepted[:, at - start : to - start] = (best > SURE) | (best >= least)
+            at = to
+        room = min(2 * n - 4, 2 * int(n * min(WINDOWS)) - 4)
+        for i, ok, by_bits in zip(group, stands, accepted, strict=True):
+            table = np.zeros(1 << 16, bool)
+            table[np_features(shorts[i])] = True
+            for j in np.flatnonzero(ok & ~by_bits & (hits("features", table, start) >= least * room)):
+                by_bits[j] = is_subset(shorts[i], theirs[start + j], threshold)
+            js = np.flatnonzero(ok & by_bits)
+            if len(js):
+                yield np.full(len(js), i), order[start + js]
 
 
 @F.pandas_udf(T.DoubleType())

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions.durations import split_seconds
-from tapewright.functions.fingerprints import all_similar, is_fingerprint, subset_of, with_words, word_bytes, words_of
+from tapewright.functions.fingerprints import all_similar, all_subsets, is_fingerprint, word_bytes, words_of
 from tapewright.operators.dedupe import mark_groups, preservation_keys
 from tapewright.operators.model import BIT, Preferences, add, drop
 from tapewright.operators.stage import Stage
@@ -19,15 +19,6 @@ from tapewright.operators.stage import Stage
 #: Fingerprints are cut into sets of about so many at least, and of so many bytes at most; each two sets are compared in one task.
 GROUP, SET_BYTES = 1024, 1 << 26
 
-#: Up to so many fingerprints that agree in a key are compared in one group; larger groups are cut into square blocks.
-KEY_GROUP = 64
-
-
-def array_rows(rows: DataFrame, stage: Stage) -> DataFrame:
-    """id, w (words, at least one) of decodable fingerprints."""
-    d = with_words(rows.filter(is_fingerprint(F.col("fingerprint"))).select("id", "fingerprint"), "fingerprint", "w")
-    return stage.put(d.select("id", "w").filter(F.size("w") > 0))
-
 
 def word_rows(rows: DataFrame, stage: Stage) -> DataFrame:
     """id, w (bytes of the words, at least one) of decodable fingerprints."""
@@ -103,44 +94,30 @@ def mark_similar(rows: DataFrame, prefs: Preferences, stage: Stage | None = None
     return mark_groups(rows.join(c, "id", "left"), [F.col("cluster")], F.lit(BIT["SimilarAudio"]), preservation_keys(prefs), reset=False).select(*own)
 
 
-def _sharing(keys: DataFrame, stage: Stage) -> DataFrame:
-    """a < b that share a key; keys: (key, id), distinct. No task sees more than KEY_GROUP ids of a key."""
-    half = max(1, KEY_GROUP // 2)
-    sizes = stage.put(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    few = keys.join(sizes.filter(F.col("n") <= KEY_GROUP), "key").groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("m"))
-    each = F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, F.lit(KEY_GROUP)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
-    pairs = few.select(F.explode(F.flatten(each)).alias("p")).select("p.*")
-    many = keys.join(sizes.filter(F.col("n") > KEY_GROUP), "key").withColumn("g", F.ceil(F.col("n") / half).cast("int"))
-    many = many.withColumn("c", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))
-    cells = many.select("key", "id", "c", F.explode(cells).alias("cell"))
-    x, y = (cells.select("key", "cell", F.col("id").alias(n), F.col("c").alias(f"c{n}")) for n in ("a", "b"))
-    across = x.join(y, ["key", "cell"]).filter((F.col("a") < F.col("b")) & ((F.col("cell.i") != F.col("cell.j")) == (F.col("ca") != F.col("cb"))))
-    return pairs.unionByName(across.select("a", "b")).distinct()
-
-
 def subset_pairs(rows: DataFrame, threshold: float, stage: Stage | None = None) -> DataFrame:
     """child, parent: fingerprints that occur in one that stands before them (longer duration, then more channels, then
     smaller id; an unreadable duration is 0).
 
-    Candidates have two words in common that are at most three places apart, at the same distance, anywhere; one-word
-    fingerprints have none, as they are in no other by the rules. A pair that reaches the threshold with fewer equal words
-    is alike by chance bits only and is not looked for. Candidates are verified by all windows.
+    All pairs in that order are compared, in blocks; one-word fingerprints are in no other by the rules.
     """
     stage = stage or Stage(rows.sparkSession, "subset")
+    least = threshold / 100 * 0.9
     order = rows.select("id", F.coalesce(split_seconds(F.col("duration")), F.lit(0.0)).alias("s"), F.coalesce("channels", F.lit(0)).alias("ch"))
-    w = stage.put(array_rows(rows, stage).join(order, "id").select("id", "s", "ch", "w"))
-    near = lambda d: F.when(F.size("w") > d, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - d, F.lit(1))), lambda i: F.xxhash64(F.lit(d), F.element_at("w", i), F.element_at("w", i + d)))).otherwise(F.array().cast("array<bigint>"))
-    keys = w.select(F.explode(F.array_distinct(F.concat(*map(near, (1, 2, 3))))).alias("key"), "id")
-    pairs = _sharing(stage.put(keys), stage)
-    side = lambda n: w.select(F.col("id").alias(n), F.struct((-F.col("s")).alias("s"), (-F.col("ch")).alias("c"), F.col("id").alias("i")).alias(f"o{n}"), F.col("w").alias(f"w{n}"))
-    d = pairs.join(side("a"), "a").join(side("b"), "b")
-    first = F.col("oa") < F.col("ob")
-    pick = lambda x, y: F.when(first, x).otherwise(y)
-    d = d.select(pick(F.col("b"), F.col("a")).alias("child"), pick(F.col("a"), F.col("b")).alias("parent"), pick(F.col("wb"), F.col("wa")).alias("short"), pick(F.col("wa"), F.col("wb")).alias("long"), pick(F.col("ob"), F.col("oa")).alias("co"), pick(F.col("oa"), F.col("ob")).alias("po"))
-    # few bytes, much work: as many tasks as the cluster runs, which AQE leaves alone
-    d = d.filter(F.size("short") <= F.size("long")).repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return d.filter(subset_of("short", "long", F.lit(threshold / 100 * 0.9))).select("child", "parent", "co", "po")
+    w = stage.put(word_rows(rows, stage).join(order, "id").select("id", "s", "ch", "w"))
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
+        both = x if y is None else pd.concat([x, y])
+        rank = np.empty(len(both), np.int64)
+        rank[np.lexsort((both["id"], -both["ch"].astype("int64"), -both["s"]))] = np.arange(len(both))
+        ids, words = both["id"].to_numpy(), [words_of(b) for b in both["w"]]
+        cut = len(x)
+        for one, two in [(slice(None), slice(None))] if y is None else [(slice(cut), slice(cut, None)), (slice(cut, None), slice(cut))]:
+            for i, j in all_subsets(words[one], words[two], rank[one], rank[two], least):
+                yield pd.DataFrame({"child": ids[one][i], "parent": ids[two][j]})
+
+    side = lambda n, o: w.select(F.col("id").alias(n), F.struct((-F.col("s")).alias("s"), (-F.col("ch")).alias("c"), F.col("id").alias("i")).alias(o))
+    pairs = stage.put(_meetings(w, compare, "child bigint, parent bigint"))
+    return pairs.join(side("child", "co"), "child").join(side("parent", "po"), "parent").select("child", "parent", "co", "po")
 
 
 def subset_families(pairs: DataFrame, stage: Stage) -> DataFrame:

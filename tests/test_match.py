@@ -5,7 +5,9 @@ import base64
 import numpy as np
 import pytest
 
+from tapewright.functions import fingerprints as fp
 from tapewright.operators import match
+from tapewright.operators.stage import Stage
 
 
 def flipped(rng, w, share):
@@ -41,3 +43,17 @@ def test_similar_pairs_are_all_pairs(spark, monkeypatch, group, threshold):
     want = {(i, j): s for j in range(len(words)) for i in range(j) if (s := likeness(words[i], words[j])) >= threshold}
     got = match.similar_pairs(catalog(spark, words), threshold).collect()
     assert {(r["a"], r["b"]): r["similarity"] for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("group", [4, 1024])
+def test_subset_pairs_are_all_pairs(spark, monkeypatch, group):
+    monkeypatch.setattr(match, "GROUP", group)
+    rng, words = np.random.default_rng(6), []
+    for n in (20, 64, 90):
+        long = random_words(rng, n)
+        words += [long, long[3:11], np.delete(long[2:40], 5), *(flipped(rng, long[4 : 4 + k], f) for k in (9, 16, 35, 62) if k < n - 4 for f in (0.1, 0.2)), long[:1]]
+    order = lambda i: (-(len(words[i]) // 8), -(1 + i % 2), i)
+    want = {(i, j) for i in range(len(words)) for j in range(len(words)) if order(j) < order(i) and fp.is_subset(words[i], words[j], 0.72)}
+    got = match.subset_pairs(catalog(spark, words), 80, Stage(spark, "t")).collect()
+    assert {(r["child"], r["parent"]) for r in got} == want and len(got) == len(want)
+    assert all((r["po"]["s"], r["po"]["c"], r["po"]["i"]) < (r["co"]["s"], r["co"]["c"], r["co"]["i"]) for r in got)
