@@ -1,4 +1,4 @@
-"""Audio files as rows: PCM from WAV, embedded metadata, and whether all channels are the same."""
+"""Audio files as rows: PCM from WAV and AIFF, embedded metadata, and whether all channels are the same."""
 
 from __future__ import annotations
 
@@ -27,14 +27,71 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return files.select(F.regexp_replace("path", "^file:/*", "/").alias("file_path"))
 
 
+def _integers(raw: bytes, width: int, order: str) -> np.ndarray:
+    """Samples of signed integers of 1 to 4 bytes; what is left over at the end is dropped."""
+    b = np.frombuffer(raw[: len(raw) // width * width], np.uint8).reshape(-1, width)
+    if order == ">":
+        b = b[:, ::-1]
+    full = np.zeros((len(b), 4), np.uint8)
+    full[:, 4 - width :] = b
+    return (full.view("<i4").ravel() / float(1 << 31)).astype(np.float32)
+
+
+def _pieces(content: bytes, order: str) -> dict[bytes, bytes]:
+    """The first chunk of each name in a RIFF or FORM file."""
+    out, at = {}, 12
+    while at + 8 <= len(content):
+        (n,) = struct.unpack_from(order + "I", content, at + 4)
+        out.setdefault(content[at : at + 4], content[at + 8 : at + 8 + n])
+        at += 8 + n + n % 2
+    return out
+
+
+def _float_wav(content: bytes) -> tuple[int, int, np.ndarray] | None:
+    c = _pieces(content, "<")
+    f = c.get(b"fmt ", b"")
+    if content[:4] != b"RIFF" or content[8:12] != b"WAVE" or len(f) < 16 or b"data" not in c:
+        return None
+    tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", f)
+    tag = struct.unpack_from("<H", f, 24)[0] if tag == 0xFFFE and len(f) >= 40 else tag
+    if tag != 3 or bits not in (32, 64) or not channels:
+        return None
+    return rate, channels, np.frombuffer(c[b"data"][: len(c[b"data"]) // (bits // 8) * (bits // 8)], f"<f{bits // 8}").astype(np.float32)
+
+
+def _aiff(content: bytes) -> tuple[int, int, np.ndarray] | None:
+    c = _pieces(content, ">")
+    f, data = c.get(b"COMM", b""), c.get(b"SSND", b"")
+    if content[:4] != b"FORM" or content[8:12] not in (b"AIFF", b"AIFC") or len(f) < 18:
+        return None
+    channels, frames, bits, exponent, mantissa = struct.unpack_from(">hIhHQ", f)
+    kind = f[18:22] if content[8:12] == b"AIFC" else b"NONE"
+    rate = round(mantissa * 2.0 ** ((exponent & 0x7FFF) - 16383 - 63)) if (exponent & 0x7FFF) < 16447 else 0
+    if channels < 1 or rate < 1 or rate >= 1 << 31 or not 1 <= bits <= 64 or len(data) < 8 and frames:
+        return None
+    width = (bits + 7) // 8
+    if kind in (b"fl32", b"FL32", b"fl64", b"FL64"):
+        width = int(kind[2:]) // 8
+    elif kind not in (b"NONE", b"twos", b"sowt") or width > 4:
+        return None
+    start = 8 + (struct.unpack_from(">I", data)[0] if len(data) >= 8 else 0)
+    raw = data[start : start + frames * channels * width]
+    if kind[:2].lower() == b"fl":
+        return rate, channels, np.frombuffer(raw[: len(raw) // width * width], f">f{width}").astype(np.float32)
+    return rate, channels, _integers(raw, width, "<" if kind == b"sowt" else ">")
+
+
 def pcm(content: bytes) -> tuple[int, int, np.ndarray] | None:
-    """Rate, channels and interleaved samples of a PCM WAV file of 8, 16, 24 or 32 bits; None for anything else."""
+    """Rate, channels and interleaved samples of a WAV file of 8, 16, 24 or 32 bits or of floating-point numbers, or of an
+    uncompressed AIFF or AIFF-C file; None for anything else."""
+    if content[:4] == b"FORM":
+        return _aiff(content)
     try:
         with wave.open(io.BytesIO(content)) as w:
             width, channels, raw = w.getsampwidth(), w.getnchannels(), w.readframes(w.getnframes())
             rate = w.getframerate()
     except (wave.Error, EOFError, struct.error):
-        return None
+        return _float_wav(content)
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
     elif width == 3:
