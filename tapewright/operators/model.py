@@ -132,39 +132,18 @@ class Preferences:
         return replace(cls(), **raw)
 
 
-# The second built-in set of preferences and its searches.
-SECOND = Preferences(
-    match_criteria=("filename",),
-    ignore_filetype=True,
-    autoselects=(".new.", ".wav.", ".mp3.", ".aif."),
-    tags=(*TAGS, "-Reverse_", "-RING_", ".M.", ".1.", ".1.", ".3.", ".4.", ".5.", ".6.", ".7.", ".8.", ".9.", ".0."),
-    preservation_order=(
-        Rule("pathname", "Contains", "TJF RECORDINGS"),
-        Rule("pathname", "Contains", "LIBRARIES"),
-        Rule("pathname", "DoesNotContain", "SHOWS/Tim Farrell"),
-        Rule("description", "IsNotEmpty"),
-        Rule("pathname", "DoesNotContain", "Audio Files"),
-        Rule("pathname", "Contains", "RECORD"),
-        Rule("pathname", "Contains", "CREATED SFX"),
-        Rule("pathname", "Contains", "CREATED FX"),
-        Rule("pathname", "Contains", "LIBRARY"),
-        Rule("pathname", "Contains", "/LIBRARY"),
-        Rule("pathname", "Contains", "LIBRARY/"),
-        Rule("pathname", "Contains", "SIGNATURE"),
-        Rule("pathname", "Contains", "PULLS"),
-        Rule("pathname", "DoesNotContain", "EDIT"),
-        Rule("pathname", "DoesNotContain", "MIX"),
-        Rule("pathname", "DoesNotContain", "SESSION"),
-        Rule("duration", "Largest"),
-        Rule("channels", "Largest"),
-        Rule("samplerate", "Largest"),
-        Rule("bitdepth", "Largest"),
-        Rule("audiofiletype", "Is", "FLAC"),
-        Rule("bwdate", "Smallest"),
-        Rule("scanneddate", "Smallest"),
-    ),
-)
-SECOND_ENABLED = Enabled(basic=True, filename=True, audiosuite=True, filetags=True)
+def load_presets(text: str) -> dict[str, tuple[Enabled, Preferences]]:
+    """Named presets from JSON, ``{name: {"enabled": {...}, "preferences": {...}}}``; what a preset leaves out is the default."""
+    out = {}
+    for name, p in json.loads(text).items():
+        on = dict(p.get("enabled", {}))
+        least = on.pop("min_dur", Enabled.min_dur)
+        out[name] = Enabled.of(on, least), Preferences.from_json(json.dumps(p.get("preferences", {})))
+    return out
+
+
+def save_presets(presets: dict[str, tuple[Enabled, Preferences]]) -> str:
+    return json.dumps({name: {"enabled": asdict(e), "preferences": asdict(p)} for name, (e, p) in presets.items()})
 
 
 def add_tags(tags: tuple[str, ...], more: tuple[str, ...]) -> tuple[str, ...]:

@@ -133,7 +133,11 @@ def test_search_on_empty_and_all_kinds(spark):
 
 
 def test_preferences():
-    p = replace(model.SECOND, similarity_threshold=70)
+    rules = (model.Rule("pathname", "Contains", "KEEP THIS"), model.Rule("duration", "Largest"))
+    p = Preferences(match_criteria=("filename",), ignore_filetype=True, autoselects=(".new.",), preservation_order=rules, similarity_threshold=70)
+    every = {"mine": (Enabled(basic=True, filename=True, min_dur=2.5), p), "plain": (Enabled(), Preferences())}
+    assert model.load_presets(model.save_presets(every)) == every
+    assert model.load_presets('{"a": {"preferences": {"ignore_filetype": true}}}') == {"a": (Enabled(), Preferences(ignore_filetype=True))}
     assert Preferences.from_json(p.to_json()) == p and Preferences.from_json('{"odd": 1}') == Preferences()
     assert not Enabled.of([{"id": "audiosuite", "enabled": True}]).audiosuite and Enabled.of({"basic": True, "audiosuite": True}).audiosuite
     assert model.move_tags(("a",), ("a", "b"), ("c",)) == (("b",), ("c", "a"))
