@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a folder of our own only where the session names none (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where the session names none, a temporary folder if all runs in this one
+    process (tests), and an error on any cluster: there each machine would write to a disk of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master or 'unknown'})")
     own = os.path.join(tempfile.gettempdir(), "tapewright-stage")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
@@ -24,34 +28,59 @@ class Stage:
     """Tables written for one run; ``put`` returns the table read back, ``drop`` removes one that is no longer needed.
 
     A table is complete or absent, and lies where every executor can read it, so losing an executor costs only the
-    tasks it ran. Column statistics and pruning work on it as on any Parquet table.
+    tasks it ran. Column statistics and pruning work on it as on any Parquet table. The stage owns its tables: ``finish``
+    leaves the result alone, ``clear`` (or the end of a ``with`` block) nothing, and what is left goes with the driver.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self._kept: set[str] = set()
+
+    def __enter__(self) -> Stage:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"
         self.n += 1
         df.write.mode("overwrite").parquet(path)
+        if not self._kept:
+            self._on(self.root, "deleteOnExit")
+        self._kept.add(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._stage_path = path
         return back
 
-    def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_stage_path", None)
-        if path:
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Stores the run's result and drops all other tables."""
+        before = set(self._kept)
+        out = self.put(df)
+        for path in before:
             self._delete(path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            path = getattr(df, "_stage_path", None)
+            if path:
+                self._delete(path)
 
     def clear(self) -> None:
         """Drop every table put so far."""
-        self._delete(self.root)
+        self._on(self.root, "delete", True)
+        self._kept.clear()
 
     def _delete(self, path: str) -> None:
+        self._on(path, "delete", True)
+        self._kept.discard(path)
+
+    def _on(self, path: str, what: str, *args) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        getattr(p.getFileSystem(self.spark._jsc.hadoopConfiguration()), what)(p, *args)
 
 
 HOT_KEYS = 256

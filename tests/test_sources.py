@@ -1,3 +1,4 @@
+import os
 import sqlite3
 import struct
 
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.operators.model import Enabled, Preferences
+from tapewright.operators.stage import Stage, shared_folder
 from tapewright.sources import audio, sqlite
 from tapewright.sources.catalog import Catalog
 from tapewright.streaming import incremental
@@ -113,3 +115,30 @@ def test_incremental(spark, tmp_path):
     q = incremental.follow(spark, str(tmp_path / "in"), cat.schema, str(tmp_path / "cache2"), str(tmp_path / "cp"), producer)
     q.awaitTermination(60)
     assert incremental.read_cache(spark, str(tmp_path / "cache2")).count() == 3
+
+
+class Conf(dict):
+    @property
+    def conf(self):
+        return self
+
+
+def test_shared_folder():
+    """A cluster must name its folder; only a single process may do without."""
+    assert shared_folder(Conf({"spark.checkpoint.dir": "hdfs://x/y/", "spark.master": "yarn"})) == "hdfs://x/y"
+    for master in ("local", "local[4]", "local[*]"):
+        assert shared_folder(Conf({"spark.master": master})).startswith("file://")
+    for master in ("yarn", "spark://a:7077", "local-cluster[3,2,1000]", "k8s://x"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_folder(Conf({"spark.master": master}))
+
+
+def test_stage_owns_its_tables(spark):
+    with Stage(spark, "own") as stage:
+        folder = stage.root.removeprefix("file://")
+        a, b = stage.put(spark.range(3)), stage.put(spark.range(4))
+        stage.drop(a)
+        assert sorted(os.listdir(folder)) == ["1"] and b.count() == 4
+        out = stage.finish(b.filter("id > 1"))
+        assert sorted(os.listdir(folder)) == ["2"] and out.count() == 2
+    assert not os.path.exists(folder)
