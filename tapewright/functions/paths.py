@@ -15,28 +15,33 @@ ENDINGS = r"\A([^\n]+?)(?:\.(?:\p{Nd}+|M))*\z"
 
 def trimmed_name(c: Column) -> Column:
     """Without white space (as Unicode defines it) at both ends."""
-    return F.regexp_replace(c, r"\A[\t-\r\x{85}\p{Z}]+|[\t-\r\x{85}\p{Z}]+\z", "")
+    space = r"[\t-\r\x{85}\p{Z}]"
+    at_end = F.substring(c, 1, 1).rlike(space) | F.substring(c, -1, 1).rlike(space)  # most names have none: no search through the text
+    return F.when(at_end, F.regexp_replace(c, rf"\A{space}+|{space}+\z", "")).otherwise(c)
 
 
-def _name(path: Column) -> Column:
-    """Last component without closing slashes; null where a path has none."""
-    last = F.regexp_extract(F.regexp_replace(path, r"(?:/+\.?)+\z", ""), r"([^/]*)\z", 1)
-    return F.when(~last.isin("", ".", ".."), last)
+def _cut(path: Column) -> Column:
+    """Without closing slashes."""
+    return F.when(path.endswith("/") | path.endswith("/."), F.regexp_replace(path, r"(?:/+\.?)+\z", "")).otherwise(path)
 
 
-def _stem(name: Column) -> Column:
-    return F.when(name.rlike(r"(?s)\A.+\.[^.]*\z"), F.regexp_extract(name, r"(?s)\A(.+)\.[^.]*\z", 1)).otherwise(name)
+def _name(cut: Column) -> Column:
+    """Last component of a path without closing slashes; null where it has none."""
+    return F.nullif(F.nullif(F.nullif(F.substring_index(cut, "/", -1), F.lit("")), F.lit(".")), F.lit(".."))
 
 
-def _extension(name: Column) -> Column:
-    return F.when(name.rlike(r"(?s)\A.+\.[^.]*\z"), F.regexp_extract(name, r"\.([^.]*)\z", 1))
+def _after_dot(name: Column) -> Column:
+    """What follows the last dot, if something stands before that dot; else null."""
+    last = F.substring_index(name, ".", -1)
+    return F.when(F.length(last) < F.length(name) - 1, last)
 
 
 def parent(path: Column) -> Column:
     """The path without its last component; a bare name has the empty parent, the root and the empty path none."""
-    cut = F.regexp_replace(path, r"(?:/+\.?)+\z", "")
-    up = F.regexp_replace(F.regexp_replace(cut, r"[^/]*\z", ""), r"(?<=.)/+\z", "")
-    return F.when((cut == "") | path.isNull(), F.lit(NO_PARENT)).otherwise(up)
+    cut = _cut(path)
+    up = F.substring(cut, F.lit(1), F.length(cut) - F.length(F.substring_index(cut, "/", -1)))
+    bare = F.rtrim(up, F.lit("/"))
+    return F.when((cut == "") | path.isNull(), F.lit(NO_PARENT)).when((bare == "") & (up != ""), F.lit("/")).otherwise(bare)
 
 
 def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
@@ -62,9 +67,11 @@ def with_names(df: DataFrame, path: str, tags: tuple[str, ...] = (), ignore_file
     and without counters at its end; then the extension, unless file types are ignored.
     """
     own = df.columns
-    d = bind(df, _nm=_name(F.col(path)))
+    d = bind(df, _nm=_name(_cut(F.col(path))))
     name = F.col("_nm")
-    d = bind(d, file_name=F.coalesce(name, F.lit(NO_NAME)), stem=F.coalesce(_stem(name), F.lit(NO_STEM)), ext=F.coalesce(_extension(name), F.lit(NO_EXTENSION)))
+    d = bind(d, _x=_after_dot(name))
+    stem = F.when(F.col("_x").isNull(), name).otherwise(F.substring(name, F.lit(1), F.length(name) - F.length("_x") - 1))
+    d = bind(d, file_name=F.coalesce(name, F.lit(NO_NAME)), stem=F.coalesce(stem, F.lit(NO_STEM)), ext=F.coalesce("_x", F.lit(NO_EXTENSION)))
     d = bind(d, _t=trimmed_name(F.col("stem")))
     d = bind(d, _u=_before_first(F.col("_t"), tags))
     d = bind(d, _v=_before_first(F.col("_u"), COPIES))

@@ -25,12 +25,15 @@ def rank_value(c: Column, scaled_ms: bool = False) -> tuple[Column, Column]:
     """(kind, value) by which texts rank: 0 whole numbers, 1 durations in ms, 2 ``YYYY-MM-DD HH:MM:SS`` in seconds.
     Anything else ranks as the number 0. Durations are ``M:S.f`` or ``H:M:S.f``; any of ``:`` and ``.`` separates, and the
     last part counts as milliseconds as it stands unless ``scaled_ms``."""
-    p = F.split(c, "[:.]", -1)
-    n = F.size(p)
-    at = lambda i: _long(F.get(p, i))
-    last = lambda i: _long(F.rpad(F.substring(F.get(p, i), 1, 3), 3, "0")) if scaled_ms else at(i)
-    short, long = at(F.lit(0)) * 60_000 + at(F.lit(1)) * 1000 + last(F.lit(2)), at(F.lit(0)) * 3_600_000 + at(F.lit(1)) * 60_000 + at(F.lit(2)) * 1000 + last(F.lit(3))
-    span = F.when(n == 3, short).when(n == 4, long)
+    def span_of(p: Column) -> Column:
+        n = F.size(p)
+        at = lambda i: _long(F.get(p, F.lit(i)))
+        last = lambda i: _long(F.rpad(F.substring(F.get(p, F.lit(i)), 1, 3), 3, "0")) if scaled_ms else at(i)
+        short, long = at(0) * 60_000 + at(1) * 1000 + last(2), at(0) * 3_600_000 + at(1) * 60_000 + at(2) * 1000 + last(3)
+        return F.when(n == 3, short).when(n == 4, long)
+
+    # the parts are bound by a lambda: each text is split once
+    span = F.when(c.rlike(r"^[+-]?\d+(?:[:.][+-]?\d+){2,3}\z"), F.get(F.transform(F.array(F.split(c, "[:.]", -1)), span_of), F.lit(0)))
     day = F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\z"), c.try_cast("timestamp_ntz"))
     stamp = F.unix_date(day.cast("date")).cast("bigint") * 86400 + F.hour(day) * 3600 + F.minute(day) * 60 + F.second(day)
     whole = _long(c)

@@ -14,6 +14,9 @@ from tapewright.functions import paths
 from tapewright.functions.values import rank_value
 from tapewright.operators.model import BIT, Enabled, Preferences, Rule, add, drop, has
 
+#: Parts into which rows without a key are spread in a join.
+SPREAD = 4096
+
 
 def rule_keys(rule: Rule, text: Column, strict_smallest: bool = False, scaled_ms: bool = False) -> list[Column]:
     """Sort keys of a rule, the smallest first. ``Smallest`` orders nothing unless ``strict_smallest``. Missing values: read
@@ -58,7 +61,10 @@ def _struct(keys: list[Column]) -> Column:
 def mark_groups(rows: DataFrame, keys: list[Column], branch: Column, order: list[Column], reset: bool) -> DataFrame:
     """Flags of rows that share ``keys`` with others: a row's ``branch`` (bits, 0 for none) is added, and Keep is dropped
     from all but the first in ``order`` if they have a branch. If ``reset`` and all rows of a group still have Keep, their
-    flags become Keep alone. Rows with a null key are in no group."""
+    flags become Keep alone. Rows with a null key are in no group.
+
+    ``rows`` is read twice: pass a stored table. A hot key has one row on the right side of the join; rows with a null key
+    are spread over all tasks."""
     own = rows.columns
     known = F.lit(True)
     for k in keys:
@@ -70,7 +76,8 @@ def mark_groups(rows: DataFrame, keys: list[Column], branch: Column, order: list
         F.bool_and(has(F.col("flags"), "Keep")).alias("_keep"), F.count_if(F.col("_b") != 0).alias("_branched"),
     ).filter("_n > 1")
     groups = groups.select("_g", F.col(last).alias("_first_id"), (F.col("_keep") & (F.col("_branched") - (F.col("_first.b") != 0).cast("int") == 0)).alias("_reset"))
-    d = d.join(groups, "_g", "left")
+    spread = F.when(F.col("_g").isNull(), F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+    d = d.withColumn("_salt", F.coalesce(spread, F.lit(0).cast("bigint"))).join(groups.withColumn("_salt", F.lit(0).cast("bigint")), ["_g", "_salt"], "left")
     f, grouped = F.col("flags"), F.col("_first_id").isNotNull() & (F.col("_b") != 0)
     marked = F.when(grouped, F.when(F.col("id") == F.col("_first_id"), f).otherwise(drop(f, "Keep")).bitwiseOR(F.col("_b"))).otherwise(f)
     if reset:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Parts into which the files that have a hash are split.
+PARTS = 16
+
 
 def landmark_hash(f1: Column, f2: Column, seconds: Column) -> Column:
     """Hash of two frequencies and their distance in hundredths of a second."""
@@ -32,10 +35,15 @@ def remove_files(index: DataFrame, ids: DataFrame) -> DataFrame:
 def best_alignments(queries: DataFrame, index: DataFrame) -> DataFrame:
     """query_id, file_id, delta, hits: of each query and each other file, the shift in time that most common landmarks
     agree on (of several, the smallest). Equal landmarks of a file count as often as they occur on either side; they are
-    added up before the join, so a common hash meets once for each different time. Nulls do not match."""
+    added up before the join, so a common hash meets once for each different time. Nulls do not match.
+
+    Every hash is split into ``PARTS`` parts of files, each of which meets all queries: a hash that a third of the index
+    has is spread over as many tasks. Queries are the smaller side."""
     count = lambda d, name: d.select(F.col("file_id").alias(name), "hash", "time_offset").dropna().groupBy(name, "hash", "time_offset").agg(F.count(F.lit(1)).alias(f"n_{name}"))
-    q, x = count(queries, "query_id").withColumnRenamed("time_offset", "tq"), count(index, "file_id")
-    d = q.join(x, "hash").filter(F.col("query_id") != F.col("file_id"))
+    q = count(queries, "query_id").withColumnRenamed("time_offset", "tq").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    x = count(index, "file_id").withColumn("part", F.pmod(F.xxhash64("file_id"), F.lit(PARTS)).cast("int"))
+    d = q.join(x, ["hash", "part"]).filter(F.col("query_id") != F.col("file_id"))
+    d = d.repartition("query_id", "file_id")  # the one shuffle of votes: both aggregations stay within a pair of files
     votes = d.groupBy("query_id", "file_id", (F.col("time_offset") - F.col("tq")).alias("delta")).agg(F.sum(F.col("n_query_id") * F.col("n_file_id")).alias("hits"))
     best = votes.groupBy("query_id", "file_id").agg(F.max(F.struct("hits", (-F.col("delta")).alias("d"))).alias("b"))
     return best.select("query_id", "file_id", (-F.col("b.d")).alias("delta"), F.col("b.hits").alias("hits"))
