@@ -1,68 +1,138 @@
 """Problem 2: pairwise matches consolidated into groups.
 
-``shared_value_links`` finds which files match (at least ``t`` different values in common) without ever listing the
-pairs of a common value; ``components`` gives every linked node the smallest node of its group by Borůvka's method.
+``shared_value_groups`` finds the groups of items that match (at least ``t`` different values in common), without ever
+listing the pairs of a common value; ``components`` gives every linked node the smallest node of its group by Borůvka's
+method.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.operators.stage import Stage, skew_join
 
-#: Files that share a value are compared pair by pair up to so many; larger groups are refined by further values.
+#: Items that share a value are compared pair by pair up to so many; larger groups are refined by further values.
 PAIRWISE = 64
+#: Items with more shared values than this never hold them in one array; they are counted against all others.
+GIANT = 100_000
+#: Values by which a group is refined are listed in one array up to so many; beyond, all values of its items are taken.
+LISTED = 4096
 
 
-def shared_value_links(rows: DataFrame, item: str, value: str, t: int = 4, pairwise: int = PAIRWISE, stage: Stage | None = None) -> DataFrame:
-    """a, b: links between items that have at least ``t`` different non-null values in common, enough of them that
-    linked items are connected exactly as if every matching pair were listed.
+def _pairs(groups: DataFrame, most: int) -> DataFrame:
+    """a < b of different labels among the members (f, c) of each path; groups of at most ``most``."""
+    g = groups.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("f", "c"))).alias("m"))
+    each = F.transform("m", lambda a, i: F.transform(F.filter(F.slice("m", i + 2, most), lambda b: b["c"] != a["c"]), lambda b: F.struct(a["f"].alias("a"), b["f"].alias("b"))))
+    return g.select(F.explode(F.flatten(each)).alias("p")).select("p.*").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    left, right = sets.select(F.col("f").alias("a"), F.col("s").alias("sa")), sets.select(F.col("f").alias("b"), F.col("s").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").filter(F.size(F.array_intersect("sa", "sb")) >= t).select("a", "b")
+
+
+def _stars(rows: DataFrame, key: str) -> DataFrame:
+    """a, b: every item f to the smallest with the same key."""
+    low = rows.groupBy(key).agg(F.min("f").alias("a"), F.max("f").alias("z")).filter(F.col("a") != F.col("z"))
+    return rows.join(low, key).filter(F.col("f") != F.col("a")).select("a", F.col("f").alias("b")).distinct()
+
+
+def shared_value_groups(rows: DataFrame, item: str, value: str, t: int = 4, pairwise: int = PAIRWISE, giant: int = GIANT, stage: Stage | None = None) -> DataFrame:
+    """node, component (smallest item of its group): items linked, directly or through others, by at least ``t`` different
+    non-null values in common; items without a match have no row.
 
     Values that one item alone has are dropped. Each item's values are ordered from rarest to commonest; of two items
     with ``t`` common values, the i-th rarest common one is, in each, not among its ``t - i`` commonest. So items meet at
     values outside their ``t - 1`` commonest. Where at most ``pairwise`` items meet, their pairs are verified on the full
-    sets; where more meet, they meet again by the next common value, and so on; items that have met by ``t`` values match
-    all, and each is linked to the smallest. The work for a value is thus linear in its items however common it is, and
-    no pair is lost. Repeated rows count once; rows with a null item or value do not count; an empty table gives none.
-    An item's different shared values are kept in one array.
+    sets. Larger groups need only show which groups of items they connect:
+
+    * items with ``t`` neighbouring common values alike are linked at once, one row for each value of an item. This joins
+      what shares many common values; groups so far are computed, and a meeting of items that all belong to one is done;
+    * the remaining meetings are refined by the next common value, and so on. All pairs of a meeting that matter have an
+      item outside the meeting's largest group, so only values of such items are followed, by all. Items that have met by
+      ``t`` values match, and each is linked to the smallest.
+
+    No pair is lost at any size of a group. The refinement costs a row for each value that an item of a meeting shares with
+    an item of another group; it grows beyond that only where very many items share several common values but not ``t``.
+    Items with more than ``giant`` shared values (there are at most rows / ``giant``) are counted against all others by a
+    join instead. Repeated rows count once; rows with a null item or value do not count; an empty table gives none.
     """
-    stage = stage or Stage(rows.sparkSession, "links")
+    spark = rows.sparkSession
+    stage = stage or Stage(spark, "groups")
     tokens = stage.put(rows.select(F.col(item).cast("bigint").alias("f"), F.col(value).cast("bigint").alias("h")).dropna().distinct())
     freq = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    known = skew_join(tokens, freq, "h")
-    sets = known.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("s")).filter(F.size("s") >= t)
-    sets = stage.put(sets.select("f", F.transform("s", lambda x: x["h"]).alias("s")))
+    known = stage.put(skew_join(tokens, freq, "h"))
     stage.drop(tokens)
+    large = stage.put(known.groupBy("f").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > giant).select("f"))
+    small, links = known, None
+    if not large.isEmpty():
+        own = known.join(large, "f").select(F.col("f").alias("a"), "h")
+        links = own.join(known, "h").filter(F.col("a") != F.col("f")).groupBy("a", "f").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= t).select("a", F.col("f").alias("b"))
+        small = known.join(large, "f", "left_anti")
+    cold = F.size(F.filter("s", lambda x: x["n"] <= pairwise))
+    sets = small.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("s")).filter(F.size("s") >= t)
+    sets = stage.put(sets.select("f", cold.alias("cold"), F.transform("s", lambda x: x["h"]).alias("s")))
 
-    # level 1: (path of values met so far, position of the last in the item's order)
-    def walk(level: int, df: DataFrame) -> DataFrame:
-        """Each item to every value after its last one that may be the level-th rarest common value."""
-        n = F.size("s") - (t - level)
-        steps = F.filter(F.transform("s", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("at"))), lambda x: (x["at"] > F.col("at")) & (x["at"] <= n))
-        return df.select("f", "s", "path", F.explode(steps).alias("x")).select("f", "s", F.concat("path", F.array("x.h")).alias("path"), "x.at")
-
-    at_level = sets.withColumns({"path": F.array().cast("array<bigint>"), "at": F.lit(0)})
-    pairs = stars = None
-    for level in range(1, t + 1):
-        met = stage.put(walk(level, at_level).select("f", "path", "at"))
-        sizes = met.groupBy("path").agg(F.count(F.lit(1)).alias("k"), F.min("f").alias("low")).filter(F.col("k") > 1)
-        if level == t:
-            own = skew_join(met, sizes, "path").filter(F.col("f") != F.col("low")).select(F.col("low").alias("a"), F.col("f").alias("b"))
-            stars = own.distinct()
-            break
-        few = met.join(sizes.filter(F.col("k") <= pairwise), "path").groupBy("path").agg(F.array_sort(F.collect_list("f")).alias("fs"))
-        here = few.select(F.explode(F.flatten(F.transform("fs", lambda a, i: F.transform(F.slice("fs", i + 2, pairwise), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
-        here = here.select("p.*")
-        pairs = here if pairs is None else pairs.unionByName(here)
-        many = stage.put(sizes.filter(F.col("k") > pairwise))
-        if many.isEmpty():
+    first = F.transform(F.slice("s", F.lit(1), F.size("s") - t + 1), lambda h, i: F.struct(F.array(h).alias("path"), (i + 1).alias("at")))
+    met = stage.put(sets.select("f", F.explode(first).alias("x")).select("f", "x.*"))
+    sizes = stage.put(met.groupBy("path").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1))
+    few = _pairs(met.join(sizes.filter(F.col("k") <= pairwise), "path").select("path", "f", F.col("f").alias("c")), pairwise)
+    pairs = _verified(few, sets, t)
+    links = pairs if links is None else links.unionByName(pairs)
+    many = sizes.filter(F.col("k") > pairwise).select("path")
+    if many.isEmpty():
+        groups = components(links, stage=stage)
+        stage.drop(known, met, sizes)
+        return groups
+    met = stage.put(skew_join(met, many, "path"))
+    hot = F.slice("s", F.col("cold") + 1, F.size("s"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("h") - t + 1), lambda i: F.slice("h", i, t))
+    runs = stage.put(sets.select("f", hot.alias("h")).filter(F.size("h") >= t).select("f", F.explode(runs).alias("run")))
+    links = links.unionByName(_stars(runs, "run"))
+    groups = stage.put(components(links, stage=stage))
+    stage.drop(known, sizes, runs)
+
+    label = F.coalesce("component", "f").alias("c")
+    met = stage.put(met.join(groups.withColumnRenamed("node", "f"), "f", "left").select("f", label, "path", "at"))
+    more = None
+    for level in range(2, t + 1):
+        by = met.groupBy("path", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.sum("n").alias("k"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "c")).alias("top"))
+        wide = stage.put(by.filter((F.col("labels") > 1) & (F.col("k") > pairwise if level == 2 else F.lit(True))).select("path", "k", F.col("top.c").alias("major")))
+        if level > 2:
+            found = _verified(_pairs(met.join(wide.filter(F.col("k") <= pairwise).select("path"), "path"), pairwise), sets, t)
+            more = found if more is None else more.unionByName(found)
+        wide = wide.filter(F.col("k") > pairwise)
+        if wide.isEmpty():
             break
-        at_level = skew_join(met, many.select("path"), "path").join(sets, "f")
-    pairs = pairs.distinct()
-    left, right = sets.select(F.col("f").alias("a"), F.col("s").alias("sa")), sets.select(F.col("f").alias("b"), F.col("s").alias("sb"))
-    verified = pairs.join(left, "a").join(right, "b").filter(F.size(F.array_intersect("sa", "sb")) >= t).select("a", "b")
-    return verified if stars is None else verified.unionByName(stars)
+        met = stage.put(_refined(met, wide, sets, t - level, stage))
+        if level == t:
+            stars = _stars(met, "path")
+            more = stars if more is None else more.unionByName(stars)
+    if more is None:
+        return groups
+    more = stage.put(more)
+    if more.isEmpty():
+        return groups
+    named = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}c"))
+    ends = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+    joined = stage.put(components(ends.filter("a != b").distinct(), stage=stage).select(F.col("node").alias("component"), F.col("component").alias("whole")))
+    alone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(groups, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return groups.unionByName(alone).join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+
+
+def _refined(met: DataFrame, wide: DataFrame, sets: DataFrame, later: int, stage: Stage) -> DataFrame:
+    """f, c, path, at: the members of the meetings ``wide`` by one further value, at most ``later`` before an item's last,
+    of those that an item outside the meeting's largest group (``major``) has."""
+    members = stage.put(skew_join(met, wide, "path").join(sets.select("f", "s"), "f"))
+    tail = F.slice("s", F.col("at") + 1, F.greatest(F.size("s") - later - F.col("at"), F.lit(0)))
+    minor = members.filter(F.col("c") != F.col("major")).select("path", tail.alias("tail"))
+    short = minor.groupBy("path").agg(F.sum(F.size("tail")).alias("n")).filter(F.col("n") <= LISTED)
+    listed = minor.join(short, "path").groupBy("path").agg(F.array_distinct(F.flatten(F.collect_list("tail"))).alias("only"))
+    rows = members.join(listed, "path", "left")
+    steps: Column = F.when(F.col("only").isNull(), tail).otherwise(F.array_intersect(tail, "only"))
+    rows = rows.select("f", "c", "path", "s", F.explode(steps).alias("h"))
+    return rows.select("f", "c", F.concat("path", F.array("h")).alias("path"), F.array_position("s", F.col("h")).cast("int").alias("at"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", stage: Stage | None = None) -> DataFrame:
@@ -116,6 +186,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b", stage: Stage | None
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
     stage = Stage(spark, "p2")
-    links = shared_value_links(spark.read.parquet(f"{sf_dir}/fingerprints.parquet"), "file_id", "hash", 4, stage=stage)
-    out = components(links, stage=stage)
-    return out.select(F.col("node").alias("file_id"), F.col("component").alias("group_id"))
+    out = shared_value_groups(spark.read.parquet(f"{sf_dir}/fingerprints.parquet"), "file_id", "hash", 4, stage=stage)
+    return stage.finish(out.select(F.col("node").alias("file_id"), F.col("component").alias("group_id")))

@@ -72,20 +72,37 @@ def test_components(spark):
     assert comp.components(df.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("pairwise", [1, 2, 64])
-def test_shared_values(spark, pairwise):
+def matching(rows, t=4):
+    sets = defaultdict(set)
+    for f, h in rows:
+        if f is not None and h is not None:
+            sets[f].add(h)
+    return groups((a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= t)
+
+
+def grouped(spark, rows, **how):
+    return found(comp.shared_value_groups(spark.createDataFrame(rows, "file_id bigint, hash bigint"), "file_id", "hash", 4, **how))
+
+
+@pytest.mark.parametrize(("pairwise", "giant", "listed"), [(1, 10**5, 4096), (2, 6, 2), (64, 10**5, 4096), (4, 10**5, 0)])
+def test_shared_values(spark, monkeypatch, pairwise, giant, listed):
+    monkeypatch.setattr(comp, "LISTED", listed)
     rng = random.Random(pairwise)
     rows = [(f, 1) for f in range(120)] + [(f, 2) for f in range(0, 120, 2)]
     for f in range(120):
         rows += [(f, rng.choice([3, 4, 5, 6, 7, rng.randrange(10, 200)])) for _ in range(rng.randrange(9))]
     rows += rows[:50] + [(None, 1), (3, None)]
-    sets = defaultdict(set)
-    for f, h in rows:
-        if f is not None and h is not None:
-            sets[f].add(h)
-    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 4]
-    links = comp.shared_value_links(spark.createDataFrame(rows, "file_id bigint, hash bigint"), "file_id", "hash", 4, pairwise)
-    assert found(comp.components(links)) == groups(pairs)
+    assert grouped(spark, rows, pairwise=pairwise, giant=giant) == matching(rows)
+    assert grouped(spark, rows[:0]) == {}
+
+
+def test_shared_values_all_common(spark):
+    """Several hundred values a file, each in more than PAIRWISE files: two families that share three values, and strangers
+    that have three values of a family each."""
+    rng = random.Random(9)
+    rows = [(f, h) for f in range(80) for h in rng.sample(range(600), 500)] + [(f, h) for f in range(100, 180) for h in [0, 1, 2, *rng.sample(range(1000, 1600), 500)]]
+    rows += [(1000 + k, h) for k in range(100) for h in [*rng.sample(range(3, 600), 3), 1000 + k, 1100 + k, 1200 + k]]
+    assert grouped(spark, rows) == matching(rows)
 
 
 def fp(words, extra=b""):
