@@ -146,11 +146,31 @@ def test_truncation_held_out(spark):
 
 
 @pytest.mark.parametrize(
-    ("text", "intact"),
+    ("text", "open_"),
     [
-        ("\\documentclass{a}\\begin{document}x\\end{document}", True), ("\\documentclass{a}\\begin{document}x.", False), ("\\documentclass{a}\\begin{document}x\\input{y}", True),
-        ("\\documentclass{a}\\def\\e{\\end{document}}\\begin{document}x\\e", True), ("A. % and", True), ("A $x", False), ("\\begin{a}x.\\end{a}", True), ("\\begin{a}x.", False), ("A {b", False), ("A. [...]", False),
+        ("\\documentclass{a}\\begin{document}x\\end{document}", "closed"), ("\\documentclass{a}\\begin{document}x.", True), ("\\documentclass{a}\\begin{document}x\\input{y}", False),
+        ("\\documentclass{a}\\def\\e{\\end{document}}\\begin{document}x\\e", "closed"), ("A. % and $x {", False), ("A $x", True), ("A \\% $x", True), ("A \\\\% $x", False),
+        ("\\begin{a}x.\\end{a}", False), ("\\begin{a}x.", True), ("A {b", True), ("A \\{b", False), ("A $$b\n\nc", True), ("A $b\n\nc", False), ("A \\[b\n\nc", True), ("A \\(b\n \nc", False),
+        ("\\be x", True), ("\\be x \\ee", False), ("\\beta x", False), ("\\iffalse $ \\fi x", False), ("", False),
     ],
 )
-def test_structure(text, intact):
-    assert truncation.closing(text)[2] is intact
+def test_structure(text, open_):
+    f, _, _ = truncation.closing(text, {"be": ("begin", "equation"), "ee": ("end", "equation"), "b": ("begin", "x")})
+    assert f == ["document closed"] if open_ == "closed" else f"unclosed {open_}" in f
+
+
+def test_marks_and_lengths():
+    for mark in (" [...]", "...", "…", " (...)", " [truncated]\n"):
+        f, behind, last = truncation.closing("A word and" + mark, {})
+        assert "mark True" in f and behind == len(mark) and last == "a"
+    assert truncation.closing("A word.", {})[1] == 0
+    rooms = [truncation.with_length([], "a", n, 0, 1000) for n in (1000, 998, 960, 100)] + [truncation.with_length([], "a", 100, 0, None)]
+    assert len(set(map(tuple, rooms))) == 5 and truncation.with_length([], "a", 1024, 0, None) != rooms[-1]
+
+
+def test_macros_come_from_preambles(spark):
+    pre = "\\documentclass{a}\n\\newcommand{\\%s}{\\%s{%s}}\n\\begin{document}\n"
+    rows = [(pre % ("be", "begin", "equation"),)] * 2 + [(pre % ("be", "begin", "eqnarray"),), (pre % ("ee", "end", "equation"),), ("\\newcommand{\\zz}{\\begin{q}}",), (None,), ("",)]
+    d = spark.createDataFrame(rows, "text string")
+    assert truncation.environment_macros(d, "text") == {"be": ("begin", "equation"), "ee": ("end", "equation")}
+    assert truncation.environment_macros(d, "text", 1) == {"be": ("begin", "equation")} and truncation.environment_macros(d.limit(0), "text") == {}
