@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.functions.instants import bind
+from tapewright.functions.bind import bind
 from tapewright.operators.stage import Stage
 
 _WORD_GAPS = r"[^\p{L}\p{M}\p{N}]+"
@@ -27,30 +27,29 @@ def _composed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def _with_words(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Adds ``_words``: array of ``field\\u0000word``, one for each word of each field.
+    """Adds ``_words``: array of words, of several fields as ``field\\u0000word``.
 
-    Text up to U+02AF is in composed form already and stays in the JVM; only rows with other characters, such as
-    combining marks, pass through Python to be composed.
-    """
-    beyond = F.lit(False)
-    for f in fields:
-        beyond = beyond | F.coalesce(F.col(f).rlike(r"[^\x{0}-\x{2AF}]"), F.lit(False))
+    Text up to U+02AF is in composed form already and stays in the JVM; only texts with other characters, such as
+    combining marks, are handed to Python to be composed (of all others, it sees a null)."""
     compose = F.pandas_udf(_composed, "string")
-    plain = df.filter(~beyond).withColumns({f"_t_{f}": F.lower(F.col(f)) for f in fields})
-    other = df.filter(beyond).withColumns({f"_t_{f}": compose(F.col(f)) for f in fields})
+    own = df.columns
+    beyond = lambda f: F.coalesce(F.col(f).rlike(r"[^\x{0}-\x{2AF}]"), F.lit(False))
+    df = df.withColumns({f"_t_{f}": compose(F.when(beyond(f), F.col(f))) for f in fields})
 
     def words(f: str) -> Column:
-        cut = F.filter(F.split(F.coalesce(F.col(f"_t_{f}"), F.lit("")), _WORD_GAPS), lambda w: w != "")
+        text = F.when(beyond(f), F.col(f"_t_{f}")).otherwise(F.lower(F.col(f)))
+        cut = F.filter(F.split(F.coalesce(text, F.lit("")), _WORD_GAPS), lambda w: w != "")
         return F.transform(cut, lambda w: F.concat(F.lit(f + "\0"), w)) if len(fields) > 1 else cut
 
-    return plain.unionByName(other).withColumn("_words", F.concat(*map(words, fields))).drop(*(f"_t_{f}" for f in fields))
+    return df.select(*own, F.concat(*map(words, fields)).alias("_words"))
 
 
-def _multiset_hash(words: Column) -> Column:
-    """Sums of the four 32-bit quarters of two 64-bit hashes of each word, as a struct of bigint."""
+def _multiset_hash(words: Column, field: str = "") -> Column:
+    """Sums of the four 32-bit quarters of two 64-bit hashes of each pair of field name and word, as a struct of bigint.
+    ``field``: the name that all words belong to, if they do not carry it themselves."""
 
     def add(acc: Column, w: Column) -> Column:
-        h, g = F.xxhash64(w), F.xxhash64(F.lit("second"), w)
+        h, g = F.xxhash64(F.lit(field), w), F.xxhash64(F.lit("second"), F.lit(field), w)
         half = lambda x, up: F.shiftrightunsigned(x, 32) if up else x.bitwiseAND(F.lit(_LOW32))
         return F.struct(
             (acc["a"] + half(h, False)).alias("a"), (acc["b"] + half(h, True)).alias("b"),
@@ -62,36 +61,42 @@ def _multiset_hash(words: Column) -> Column:
 
 
 def _variants(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """One row for each distinct sequence of words: _v (128 bits that stand for it), _words, first, n. Copies in the
-    same order, the usual case, are added up before any shuffle."""
+    """One row for each distinct sequence of words: _text (the words), first, n. Copies in the same order, the usual case,
+    are added up before any shuffle."""
     rows = _with_words(df.select(F.col(key).cast("bigint").alias("_id"), *fields), fields).filter(F.size("_words") > 0)
     rows = bind(rows.select("_id", "_words"), _text=F.array_join("_words", " "))
     return rows.groupBy("_text").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-def _grouped(variants: DataFrame, stage: Stage) -> DataFrame:
+def _grouped(variants: DataFrame, fields: list[str], stage: Stage) -> DataFrame:
     """_text, first, n, and ``rep``: the smallest ``first`` among the variants with the same words."""
     words = lambda c: F.split(c, " ")
-    v = stage.put(bind(variants, _fp=_multiset_hash(words(F.col("_text")))))
-    reps = v.groupBy("_fp").agg(F.min(F.struct("first", "_text")).alias("_r"), F.count(F.lit(1)).alias("_k"))
-    # equal fields: each word's count among the variant's words less its count among the representative's is zero
-    many = reps.filter(F.col("_k") > 1).select("_fp", F.col("_r.first").alias("rep"), F.col("_r._text").alias("_rep_text"))
-    pairs = v.join(many, "_fp").filter(F.col("first") != F.col("rep"))
-    tally = F.concat(
-        F.transform(words(F.col("_text")), lambda w: F.struct(w.alias("w"), F.lit(1).alias("x"))),
-        F.transform(words(F.col("_rep_text")), lambda w: F.struct(w.alias("w"), F.lit(-1).alias("x"))),
-    )
-    off = pairs.select("first", F.inline(tally)).groupBy("first", "w").agg(F.sum("x").alias("x")).filter(F.col("x") != 0)
-    off = off.select("first").distinct()
-    joined = v.join(reps.select("_fp", F.col("_r.first").alias("rep")), "_fp")
-    good = joined.join(off, "first", "left_anti").select("_text", "first", "n", "rep")
-    # words that differ under one hash (not to be expected): grouped by their exact counts
-    bad = joined.join(off, "first", "left_semi").withColumn("_key", F.array_sort(words(F.col("_text"))))
-    own = bad.groupBy("_key").agg(F.min("first").alias("_own"))
-    return good.unionByName(bad.join(own, "_key").select("_text", "first", "n", F.col("_own").alias("rep")))
-
-
-def formatting_groups(df: DataFrame, key: str = "rowid", fields: tuple[str, ...] = ("filepath",)) -> DataFrame:
+    field = fields[0] if len(fields) == 1 else ""
+    left = stage.put(bind(variants, _fp=_multiset_hash(words(F.col("_text")), field)))
+    done = None
+    while True:
+        reps = left.groupBy("_fp").agg(F.min(F.struct("first", "_text")).alias("_r"), F.count(F.lit(1)).alias("_k"))
+        # equal fields: each word's count among the variant's words less its count among the representative's is zero
+        many = reps.filter(F.col("_k") > 1).select("_fp", F.col("_r.first").alias("rep"), F.col("_r._text").alias("_rep_text"))
+        pairs = left.join(many, "_fp").filter(F.col("_text") != F.col("_rep_text"))
+        tally = F.concat(
+            F.transform(words(F.col("_text")), lambda w: F.struct(w.alias("w"), F.lit(1).alias("x"))),
+            F.transform(words(F.col("_rep_text")), lambda w: F.struct(w.alias("w"), F.lit(-1).alias("x"))),
+        )
+        # a row of the tally is told by its text: keys may be repeated
+        off = pairs.select("_fp", "_text", F.inline(tally)).groupBy("_fp", "_text", "w").agg(F.sum("x").alias("x")).filter(F.col("x") != 0)
+        off = stage.put(off.select("_text").distinct())
+        named = left.join(reps.select("_fp", F.col("_r.first").alias("rep")), "_fp")
+        none = off.isEmpty()
+        same = (named if none else named.join(off, "_text", "left_anti")).select("_text", "first", "n", "rep")
+        done = same if done is None else done.unionByName(same)
+        if none:
+            return done
+        # other words under the same hash (not to be expected): they find a representative among themselves
+        left = stage.put(left.join(off, "_text", "left_semi"))
+
+
+def formatting_groups(df: DataFrame, key: str = "rowid", fields: tuple[str, ...] = ("filepath",), stage: Stage | None = None) -> DataFrame:
     """``key`` (smallest of the group), ``copies``: a row for each set of records with the same words in each field.
 
     Words are longest runs of letters and digits (marks that combine with a letter belong to it), without regard to
@@ -100,33 +105,32 @@ def formatting_groups(df: DataFrame, key: str = "rowid", fields: tuple[str, ...]
     records each. Columns other than ``key`` and ``fields`` are never read, so their names cannot clash. An empty table
     gives no rows. Texts of any length are read whole.
     """
-    stage = Stage(df.sparkSession, "formatting")
-    g = _grouped(_variants(df, key, list(fields)), stage)
+    stage = stage or Stage(df.sparkSession, "formatting")
+    g = _grouped(_variants(df, key, list(fields)), list(fields), stage)
     return g.groupBy("rep").agg(F.sum("n").alias("copies")).select(F.col("rep").alias(key), "copies")
 
 
 def formatting_members(
-    df: DataFrame, key: str = "rowid", fields: tuple[str, ...] = ("filepath",), keep: tuple[str, ...] = (), least: int = 1
+    df: DataFrame, key: str = "rowid", fields: tuple[str, ...] = ("filepath",), keep: tuple[str, ...] = (), least: int = 1, stage: Stage | None = None
 ) -> DataFrame:
     """``key``, ``group_key``, ``copies`` and the columns ``keep`` for every record of ``formatting_groups`` in a group of
     at least ``least`` copies. A word sequence that very many rows share is a hot key of the last join, which AQE splits.
+    What the result is made from belongs to ``stage``.
     """
-    spark = df.sparkSession
-    stage = Stage(spark, "formatting")
+    stage = stage or Stage(df.sparkSession, "formatting")
     fields = list(fields)
     payload = F.struct(*keep).alias("_keep") if keep else F.lit(None).alias("_keep")
     rows = _with_words(df.select(F.col(key).cast("bigint").alias("_id"), *fields, payload), fields).filter(F.size("_words") > 0)
     rows = stage.put(rows.select("_id", F.array_join("_words", " ").alias("_text"), *(["_keep"] if keep else [])))
     variants = rows.groupBy("_text").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    g = stage.put(_grouped(variants, stage))
+    g = stage.put(_grouped(variants, fields, stage))
     sizes = g.groupBy("rep").agg(F.sum("n").alias("copies"))
     lookup = g.join(sizes, "rep").select("_text", "rep", "copies")
     out = rows.join(lookup.filter(F.col("copies") >= least), "_text")
-    out = out.select(F.col("_id").alias(key), F.col("rep").alias("group_key"), "copies", *(["_keep.*"] if keep else []))
-    out._stage = stage  # whoever stores the result may drop what it was made from
-    return out
+    return out.select(F.col("_id").alias(key), F.col("rep").alias("group_key"), "copies", *(["_keep.*"] if keep else []))
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
+    stage = Stage(spark, "p1")
     catalog = spark.read.parquet(f"{sf_dir}/justinmetadata.parquet")
-    return formatting_groups(catalog).filter(F.col("copies") > 1)
+    return stage.finish(formatting_groups(catalog, stage=stage).filter(F.col("copies") > 1))

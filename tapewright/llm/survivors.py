@@ -47,7 +47,7 @@ def beginnings(texts: DataFrame, group: str, text: str) -> DataFrame:
     return d.join(cuts, [group, text], "left_semi")
 
 
-def survivors(catalog: DataFrame, libraries: DataFrame) -> DataFrame:
+def survivors(catalog: DataFrame, libraries: DataFrame, stage: Stage | None = None) -> DataFrame:
     """group_rowid, field_name, source_rowid: the best copy for each of ``FIELDS`` in every group of two or more records
     that ``formatting_groups`` finds by ``filepath``.
 
@@ -57,8 +57,9 @@ def survivors(catalog: DataFrame, libraries: DataFrame) -> DataFrame:
     last. Groups without any usable value give no rows, and empty tables none.
     """
     spark = catalog.sparkSession
-    stage = Stage(spark, "survivors")
-    members = rows = formatting_members(catalog, keep=("library", "modificationdate", *FIELDS), least=2)
+    stage = stage or Stage(spark, "survivors")
+    made_of = Stage(spark, "formatting")
+    rows = formatting_members(catalog, keep=("library", "modificationdate", *FIELDS), least=2, stage=made_of)
     lookup = libraries.filter(F.col("library").isNotNull()).groupBy("library").agg(F.min(F.struct("tz_name", "date_order", "trust_rank")).alias("_l"))
     lookup = lookup.select("library", "_l.*").join(zone_abbreviations(spark), "tz_name", "left")
     rows = rows.join(lookup, "library", "left")
@@ -72,7 +73,7 @@ def survivors(catalog: DataFrame, libraries: DataFrame) -> DataFrame:
         (~is_placeholder(F.col("pathname"))).alias("_pathname"),
     )
     rows = stage.put(rows)
-    members._stage.clear()
+    made_of.clear()
     short = beginnings(rows, "group_rowid", "_core").withColumn("_short", F.lit(True))
     rows = rows.join(short, ["group_rowid", "_core"], "left")
     usable = {
@@ -87,4 +88,5 @@ def survivors(catalog: DataFrame, libraries: DataFrame) -> DataFrame:
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return survivors(read("justinmetadata"), read("libraries"))
+    stage = Stage(spark, "p5")
+    return stage.finish(survivors(read("justinmetadata"), read("libraries"), stage))

@@ -32,11 +32,18 @@ def test_formatting(spark):
 def test_formatting_separates_equal_hashes(spark, monkeypatch):
     """With a hash that is the same for all, the comparison of words alone must keep the groups apart."""
     zero = F.struct(*(F.lit(0).cast("bigint").alias(x) for x in "abcdn"))
-    monkeypatch.setattr(formatting, "_multiset_hash", lambda words: F.when(F.size(words) >= 0, zero))
+    monkeypatch.setattr(formatting, "_multiset_hash", lambda words, field="": F.when(F.size(words) >= 0, zero))
     got = sorted((r["rowid"], r["copies"]) for r in formatting.formatting_groups(catalog(spark, PATHS)).collect())
     assert got == [(1, 4), (4, 1), (5, 1), (10, 2), (11, 2)]
 
 
+def test_multiset_hash_takes_the_field_name(spark):
+    d = spark.createDataFrame([(["a", "b", "b"], ["b", "a", "b"], ["a", "b"])], "x array<string>, y array<string>, z array<string>")
+    h = formatting._multiset_hash
+    x, y, z, other = d.select(h(F.col("x"), "f"), h(F.col("y"), "f"), h(F.col("z"), "f"), h(F.col("x"), "g")).first()
+    assert x == y != z and x != other and x["n"] == other["n"] == 3
+
+
 def test_formatting_of_several_fields(spark):
     d = spark.createDataFrame([(1, "a b", "c"), (2, "B a", "C"), (3, "a", "b c"), (4, None, "c a")], "rowid bigint, x string, y string")
     got = sorted(tuple(r) for r in formatting.formatting_groups(d, fields=("x", "y")).collect())
