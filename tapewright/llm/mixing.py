@@ -67,7 +67,7 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     number = {r["source"]: r["docs"] or 0 for r in plan}
     rows = [(s, p, tokens[s] if p < full else rest, -(-number[s] // RUN)) for s, (full, rest) in passes.items() for p in range(full + (rest > 0))]
     use = spark.createDataFrame(rows, "s string, pass_no int, quota bigint, runs bigint")
-    uses = sized.join(F.broadcast(use), "s")
+    uses = sized.join(use, "s")  # a few rows of known size: Spark broadcasts them if they are few enough
     uses = stage.put(uses.withColumn("h", F.xxhash64(F.lit(SEED), "pass_no", "k")))
     # runs of equal hash range, so that running totals follow the shuffled order
     run = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("runs")).cast("bigint")
@@ -111,15 +111,18 @@ def _inputs(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def p7_documents(spark, sf_dir: str) -> DataFrame:
     """The chosen documents, how often each is used, and where in the schedule."""
-    uses = mix(*_inputs(spark, sf_dir))
-    return uses.groupBy("doc_id", "source", "n_tokens").agg(F.count(F.lit(1)).alias("repeats"), F.array_join(F.array_sort(F.collect_list("slot")), ",").alias("slots"))
+    stage = Stage(spark, "p7")
+    uses = mix(*_inputs(spark, sf_dir), stage=stage)
+    out = uses.groupBy("doc_id", "source", "n_tokens").agg(F.count(F.lit(1)).alias("repeats"), F.array_join(F.array_sort(F.collect_list("slot")), ",").alias("slots"))
+    return stage.finish(out)
 
 
 def p7_shares(spark, sf_dir: str) -> DataFrame:
     """Target and reached share of each source, its tokens, documents and most repeats."""
     docs, targets = _inputs(spark, sf_dir)
-    once = mix(docs, targets).groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    stage = Stage(spark, "p7")
+    once = mix(docs, targets, stage=stage).groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
     by = once.groupBy("source").agg(F.sum("t").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("n").alias("most_repeats"))
     total = by.agg(F.sum("tokens").alias("total"))
     out = targets.select("source", "target_share").join(by, "source", "left").join(F.broadcast(total))
-    return out.select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.round(F.coalesce("tokens", F.lit(0)) / F.col("total"), 6).alias("share"))
+    return stage.finish(out.select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.round(F.coalesce("tokens", F.lit(0)) / F.col("total"), 6).alias("share")))

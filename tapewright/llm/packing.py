@@ -121,43 +121,58 @@ def completions(counts: dict[int, int], sizes: list[int], room: int, waste: int)
                 if reach[i + 1] >> (t - m * s) & 1:
                     stack.append((i + 1, t - m * s, chosen + (s,) * m))
 
-    ascending = fit[::-1]
+    there = 0
+    for s in fit:
+        there |= 1 << s
 
     def dominated(items: tuple[int, ...], slack: int) -> bool:
-        subsets = {0: 0}  # sum: largest subset size that gives it
-        for x in items[:12]:
-            for t, k in list(subsets.items()):
-                subsets[t + x] = max(subsets.get(t + x, 0), k + 1)
-        for t, k in subsets.items():
-            if not k:
-                continue
-            j = bisect_left(ascending, t if k > 1 else t + 1)
-            while j < len(ascending) and ascending[j] <= t + slack:
-                if counts[ascending[j]] > items.count(ascending[j]):
-                    return True
-                j += 1
-        return False
-
-    seen = 0
+        """Sums are bits of a number, so that all subsets are looked at whatever their number."""
+        free = there
+        for x in set(items):
+            if counts[x] <= items.count(x):
+                free &= ~(1 << x)
+        one = some = more = 0  # sums of single items, of one or more, of two or more
+        for x in items:
+            more |= some << x
+            some |= some << x | 1 << x
+            one |= 1 << x
+        return bool((_up_to(more, slack) | _up_to(one << 1, slack - 1) if slack else more) & free)
+
+    seen, given = 0, False
     for t in range(room, max(-1, room - waste - 1), -1):
         if reach[0] >> t & 1:
             for items in sums(t):
                 seen += 1
                 if t == room and len(items) == 2:
+                    given = True
                     continue
                 if not dominated(items, room - t):
+                    given = True
                     yield items
-                if seen >= LOOKED_AT:
+                if seen >= LOOKED_AT and given:
                     return
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[Pattern]:
-    """Patterns that place every item of the histogram, each size at most ``capacity``.
+def _up_to(bits: int, more: int) -> int:
+    """``bits`` and every bit at most ``more`` above one of them."""
+    if more < 0:
+        return 0
+    width = 1
+    while 2 * width <= more + 1:
+        bits |= bits << width
+        width *= 2
+    return bits | bits << (more + 1 - width)
+
+
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) -> tuple[list[Pattern], str]:
+    """Patterns that place every item of the histogram, each size at most ``capacity``, and how the search ended.
 
     Branch and bound: the largest item left gets a container; its undominated fillings are the branches, tried by least
     waste; a filling is repeated while its sizes last. A branch is cut when its waste alone excludes a packing with fewer
-    containers than the incumbent, first the best-fit decreasing one. The search ends at the lower bound, when nothing is
-    left, or after the first descent and ``nodes`` further containers; then the incumbent stands.
+    containers than the incumbent, first the best-fit decreasing one. The search ends at the ``lower bound`` (nothing can be
+    better), when no branch is left (``exhausted``, of the ``BRANCHES`` kept of each filling), or at a ``limit``: after the
+    first descent and ``nodes`` further containers, or before the first descent is through after ``nodes`` and four for each
+    token of capacity. Then the incumbent stands; every item is placed in any case.
     """
     counts = {s: n for s, n in counts.items() if n > 0}
     best = best_fit(counts, capacity)
@@ -206,19 +221,25 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
             bins, waste = bins + k, waste + k * loss
             break
         tried += 1
-        if not levels or (tried > nodes and (descended or tried > 4 * capacity + nodes)):
-            break
-    return best
+        if not levels:
+            return best, "exhausted"
+        if tried > nodes and (descended or tried > 4 * capacity + nodes):
+            return best, "limit"
+    return best, "lower bound"
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = RANKS, nodes: int = NODES) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = RANKS, nodes: int = NODES, stage: Stage | None = None) -> DataFrame:
     """``key``, piece, n_tokens, container: every text's place.
 
     A text of at most ``capacity`` tokens is one piece (0). A longer one is cut into full pieces and a rest. The pieces of
     a container sum to at most ``capacity``. Null and empty texts have no tokens and are put, as one piece, into container
     0. Repeated rows and keys are items each. No documents give no rows. Columns other than the two named are not read.
     """
-    stage = Stage(docs.sparkSession, "packing")
+    return _packed(docs, key, text, capacity, tokenizer, nodes, stage or Stage(docs.sparkSession, "packing"))[0]
+
+
+def _packed(docs: DataFrame, key: str, text: str, capacity: int, tokenizer: str, nodes: int, stage: Stage) -> tuple[DataFrame, int, str]:
+    """What ``pack`` returns, the fewest containers possible, and how the search ended."""
     n = F.col("n")
     pieces = docs.select(F.col(key).alias("_key"), token_count(F.col(text), tokenizer).alias("n"))
     pieces = pieces.select("_key", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(n / capacity), F.lit(1)).cast("int") - 1)).alias("piece"))
@@ -226,7 +247,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     # at most capacity + 1 rows, whatever the number of texts
     counts = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts.pop(0, None)
-    plan = bin_completion(counts, capacity, nodes)
+    plan, ended = bin_completion(counts, capacity, nodes)
     starts, first, each = [], [], []  # places of each size: from where, into which containers, how many in each
     used, at = dict.fromkeys(counts, 0), 0
     for items, k in plan:
@@ -251,15 +272,19 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     most = max(counts.values(), default=1)
     run = F.pmod(F.xxhash64("_key", "piece"), F.lit(-(-most // RUN))).cast("int")
     ranked = running(pieces, ["size"], ["_key", "piece"], run, F.lit(1), "rank")
-    return ranked.select(F.col("_key").alias(key), "piece", F.col("size").alias("n_tokens"), container("size", "rank").alias("container"))
+    return ranked.select(F.col("_key").alias(key), "piece", F.col("size").alias("n_tokens"), container("size", "rank").alias("container")), lower_bound(counts, capacity), ended
 
 
 def p6_containers(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    stage = Stage(spark, "p6")
+    return stage.finish(pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), stage=stage))
 
 
 def p6_report(spark, sf_dir: str) -> DataFrame:
-    """Containers used, the fewest possible by total size, and the share of room left."""
-    fill = p6_containers(spark, sf_dir).groupBy("container").agg(F.sum("n_tokens").alias("t"))
-    out = fill.agg(F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("t") / CAPACITY).alias("at_least"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
-    return out.withColumn("unused_share", F.round(1 - F.col("tokens") / (F.col("containers") * CAPACITY), 6))
+    """Containers used, the fewest possible by the lower bound, the share of room left, and how the search ended."""
+    stage = Stage(spark, "p6")
+    packed, low, ended = _packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", CAPACITY, RANKS, NODES, stage)
+    fill = packed.groupBy("container").agg(F.sum("n_tokens").alias("t"))
+    out = fill.agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
+    out = out.withColumns({"at_least": F.lit(low), "search_ended": F.lit(ended)})
+    return stage.finish(out.withColumn("unused_share", F.round(1 - F.col("tokens") / (F.col("containers") * CAPACITY), 6)))

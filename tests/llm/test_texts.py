@@ -35,7 +35,7 @@ def fewest(sizes, capacity):
 def test_bin_completion_is_optimal_on_small_inputs(seed):
     rng = random.Random(seed)
     sizes = [rng.randrange(8, 60) for _ in range(9)]
-    plan = packing.bin_completion(Counter(sizes), 100)
+    plan, _ = packing.bin_completion(Counter(sizes), 100)
     assert Counter(s for items, k in plan for s in items for _ in range(k)) == Counter(sizes)
     assert all(sum(items) <= 100 for items, _ in plan)
     assert sum(k for _, k in plan) == fewest(sizes, 100) >= packing.lower_bound(Counter(sizes), 100)
@@ -44,8 +44,37 @@ def test_bin_completion_is_optimal_on_small_inputs(seed):
 def test_bin_completion_beats_best_fit():
     sizes = Counter({44: 300, 27: 300, 29: 300, 6: 10, 50: 7, 33: 41, 34: 41})
     used = lambda plan: sum(k for _, k in plan)
-    assert packing.lower_bound(sizes, 100) <= used(packing.bin_completion(sizes, 100)) <= used(packing.best_fit(sizes, 100))
-    assert packing.bin_completion({}, 100) == [] and used(packing.bin_completion({100: 10**9}, 100)) == 10**9
+    assert packing.lower_bound(sizes, 100) <= used(packing.bin_completion(sizes, 100)[0]) <= used(packing.best_fit(sizes, 100))
+    assert packing.bin_completion({}, 100) == ([], "lower bound") and used(packing.bin_completion({100: 10**9}, 100)[0]) == 10**9
+
+
+def test_search_says_how_it_ended():
+    hard = Counter({51: 3, 34: 5, 33: 4, 27: 5, 26: 4, 18: 3})
+    ends = {packing.bin_completion(hard, 100, n)[1] for n in (0, 10**6)} | {packing.bin_completion({60: 3}, 100)[1]}
+    assert "lower bound" in ends and ends <= {"lower bound", "exhausted", "limit"}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_completions_are_the_undominated_fillings(seed):
+    """Against the definition, over all subsets; with more items in a filling than could be tried one by one."""
+    rng = random.Random(seed)
+    counts = Counter(rng.randrange(5, 40) for _ in range(9))
+    sizes, room = sorted(counts, reverse=True), 70
+    fillings = {tuple(sorted(x, reverse=True)) for k in range(1, 10) for x in combinations(sorted(counts.elements()), k) if room - 12 <= sum(x) <= room}
+
+    def dominated(x):
+        for k in range(1, len(x) + 1):
+            for part in combinations(x, k):
+                for s in counts:
+                    if counts[s] > x.count(s) and sum(part) <= s <= sum(part) + room - sum(x) and (k > 1 or s > sum(part)):
+                        return True
+        return False
+
+    want = {x for x in fillings if not dominated(x)}
+    got = {tuple(sorted(x, reverse=True)) for x in packing.completions(counts, sizes, room, 12)}
+    assert got <= fillings and {x for x in got if len(x) > 2} == {x for x in want if len(x) > 2} or counts.get(room)
+    many = Counter({3: 40, 7: 40, 11: 2})
+    assert all(sum(x) <= 200 for x in packing.completions(many, [11, 7, 3], 200, 200))
 
 
 def docs(spark, n=120):
