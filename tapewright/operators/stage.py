@@ -57,12 +57,15 @@ class Stage:
 
     def finish(self, df: DataFrame) -> DataFrame:
         """Stores the run's result and drops all other tables."""
-        before = set(self._kept)
         out = self.put(df)
-        for path in before:
-            self._delete(path)
+        self.keep(out)
         return out
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Drops all tables but these."""
+        for path in self._kept - {df._stage_path for df in tables}:
+            self._delete(path)
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             path = getattr(df, "_stage_path", None)
