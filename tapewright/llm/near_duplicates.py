@@ -146,32 +146,42 @@ def candidate_pairs(contents: DataFrame, cid: str, words: str, tenths: int, stag
     return pairs.distinct()
 
 
-def near_duplicates(df: DataFrame, key: str = "rowid", fingerprint: str = "_fingerprint", duration: str = "duration", tenths: int = 7, longer_by: int = 10) -> DataFrame:
-    """``{key}_a``, ``{key}_b`` (smaller first): every pair of rows whose readable durations differ by at most a
-    ``longer_by``-th of the longer and whose fingerprint words have at least ``tenths``/10 in common (multisets).
-
-    Rows without a readable duration or without words (null, empty, ``PCM:``, ``FAILED``, damaged base64) are in no pair.
-    Equal word multisets are one content (told by 128 bits of hash); contents meet by MinHash bands, pairs of contents are
-    verified on all their words, and only then expanded to rows, by content and neighbouring duration classes. ``key``
-    must be unique; repeated keys pair as rows of their own but not with themselves. No rows give none. Other columns
-    are not read.
-    """
-    stage = Stage(df.sparkSession, "near")
+def near_duplicate_classes(df: DataFrame, stage: Stage, key: str = "rowid", fingerprint: str = "_fingerprint", duration: str = "duration", tenths: int = 7, longer_by: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(members, links), both stored: members has id, s (seconds), cell (class of durations) and cid, the smallest id with the
+    same words, for every row with a readable duration and words; links has a < b for all cids whose words have at least
+    ``tenths``/10 in common. Copies are never paired here, so this is the form that any number of copies allows."""
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(fingerprint).alias("fp"), readable_seconds(F.col(duration)).alias("s"))
     rows = rows.filter(F.col("s").isNotNull() & F.col("fp").rlike(BASE64))
     rows = rows.select("id", "s", sorted_words("fp").alias("w")).filter(F.col("w").isNotNull())
     width = -math.log(1 - 1 / longer_by) * 1.001
     rows = rows.select("id", "s", "w", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit("second"), "w").alias("k2"), F.floor(F.log(F.col("s").cast("double")) / width).alias("cell"))
     rows = stage.put(rows)
-    contents = rows.groupBy("k1", "k2").agg(F.min("id").alias("cid"), F.any_value("w").alias("w"))
-    contents = stage.put(contents)
+    contents = stage.put(rows.groupBy("k1", "k2").agg(F.min("id").alias("cid"), F.any_value("w").alias("w")))
+    members = stage.put(rows.join(contents.select("k1", "k2", "cid"), ["k1", "k2"]).select("cid", "cell", "id", "s"))
+    stage.drop(rows)
     pairs = candidate_pairs(contents, "cid", "w", tenths, stage)
     w = contents.select("cid", "w")
     found = pairs.join(w.select(F.col("cid").alias("a"), F.col("w").alias("wa")), "a").join(w.select(F.col("cid").alias("b"), F.col("w").alias("wb")), "b")
-    found = found.filter(similar("wa", "wb", F.lit(tenths))).select("a", "b")
-    members = stage.put(rows.join(contents.select("k1", "k2", "cid"), ["k1", "k2"]).select("cid", "cell", "id", "s"))
+    links = stage.put(found.filter(similar("wa", "wb", F.lit(tenths))).select("a", "b"))
+    stage.keep(members, links)
+    return members, links
+
+
+def near_duplicates(df: DataFrame, key: str = "rowid", fingerprint: str = "_fingerprint", duration: str = "duration", tenths: int = 7, longer_by: int = 10, stage: Stage | None = None) -> DataFrame:
+    """``{key}_a``, ``{key}_b`` (smaller first): every pair of rows whose readable durations differ by at most a
+    ``longer_by``-th of the longer and whose fingerprint words have at least ``tenths``/10 in common (multisets).
+
+    Rows without a readable duration or without words (null, empty, ``PCM:``, ``FAILED``, damaged base64) are in no pair.
+    Equal word multisets are one content (told by 128 bits of hash); contents meet by MinHash bands, pairs of contents are
+    verified on all their words, and only then expanded to rows, by content and neighbouring duration classes: k copies
+    of like duration are k (k - 1) / 2 pairs by definition (``near_duplicate_classes`` says the same without them). ``key``
+    must be unique; repeated keys pair as rows of their own but not with themselves. No rows give none. Other columns
+    are not read.
+    """
+    stage = stage or Stage(df.sparkSession, "near")
+    members, found = near_duplicate_classes(df, stage, key, fingerprint, duration, tenths, longer_by)
     repeated = members.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    links = stage.put(found.unionByName(repeated.select(F.col("cid").alias("a"), F.col("cid").alias("b"))))
+    links = found.unionByName(repeated.select(F.col("cid").alias("a"), F.col("cid").alias("b")))
     x = links.join(members.select(F.col("cid").alias("a"), F.col("id").alias("ida"), F.col("s").alias("sa"), F.col("cell").alias("ca")), "a")
     x = x.withColumn("cell", F.explode(F.array(F.col("ca") - 1, F.col("ca"), F.col("ca") + 1)))
     y = members.select(F.col("cid").alias("b"), "cell", F.col("id").alias("idb"), F.col("s").alias("sb"))
@@ -181,4 +191,14 @@ def near_duplicates(df: DataFrame, key: str = "rowid", fingerprint: str = "_fing
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/justinmetadata.parquet"))
+    stage = Stage(spark, "p4")
+    return stage.finish(near_duplicates(spark.read.parquet(f"{sf_dir}/justinmetadata.parquet"), stage=stage))
+
+
+def p4_classes(spark, sf_dir: str) -> DataFrame:
+    """Each row with words and a readable duration: its class (smallest row with the same words), and how many other classes
+    are similar to it."""
+    stage = Stage(spark, "p4")
+    members, links = near_duplicate_classes(spark.read.parquet(f"{sf_dir}/justinmetadata.parquet"), stage)
+    n = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
+    return stage.finish(members.join(n, "cid", "left").select(F.col("id").alias("rowid"), F.col("cid").alias("class_rowid"), F.coalesce("n", F.lit(0)).alias("similar_classes")))
