@@ -17,7 +17,8 @@ def _num(c: Column) -> Column:
 
 def readable_seconds(c: Column) -> Column:
     """Seconds as decimal(20,9) of ``M:SS``, ``H:MM:SS``, a number, or a number with a unit; a fraction may follow a point
-    or a comma. Null for anything else, for minutes over 59 beside hours, and for values that are not above zero."""
+    or a comma, of which nine digits count. Null for anything else, for minutes over 59 beside hours, for values that are not
+    above zero, and for whole numbers of more than nine digits in a clock or twelve without (over 30,000 years)."""
     t = trimmed(c)
     clock = F.split(F.regexp_replace(t, _CLOCK, "$1|$2|$3|$4"), r"\|")
     part = lambda i: F.coalesce(_num(clock[i]), F.lit(0).cast("decimal(38,9)"))

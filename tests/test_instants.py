@@ -7,7 +7,7 @@ import pytest
 
 from tapewright.operators.normalise_instants import catalog_instants
 
-LIBRARIES = [("London", "Europe/London", "DMY", 1), ("New York", "America/New_York", "MDY", 2), ("Tokyo", "Asia/Tokyo", "YMD", 3), ("Nowhere", "Mars/Base", "DMY", 4), ("Bare", None, None, 5)]
+LIBRARIES = [("London", "Europe/London", "DMY", 1), ("New York", "America/New_York", "MDY", 2), ("Tokyo", "Asia/Tokyo", "YMD", 3), ("Nowhere", "Mars/Base", "DMY", 4), ("Bare", None, None, 5), ("Moscow", "Europe/Moscow", "DMY", 6)]
 
 
 def us(*a, tz=UTC):
@@ -60,6 +60,14 @@ CASES = [
     ("2018-02-03 04:05:60", "London", "impossible", None),
     ("  2018-02-03 04:05:06\t", "London", "ok", us(2018, 2, 3, 4, 5, 6)),
     ("2018-02-03", "London", "unreadable", None),
+    ("2018-02-03 04:05:06 MSK", "Moscow", "ok", us(2018, 2, 3, 1, 5, 6)),
+    ("2012-02-03 04:05:06 MSK", "Moscow", "ok", us(2012, 2, 3, 0, 5, 6)),
+    ("2018-02-03 04:05:06 MSD", "Moscow", "ok", us(2018, 2, 3, 0, 5, 6)),
+    ("2018-02-03 04:05:06.1234567891234567", "London", "ok", us(2018, 2, 3, 4, 5, 6) + 123456),
+    ("15000000000", "London", "unreadable", None),
+    ("15009900000000", "London", "impossible", None),
+    ("150000000", "London", "ok", 150_000_000_000_000),
+    ("1500000000.123456789123", "London", "ok", 1_500_000_000_123_456),
     ("unknown", "London", "unreadable", None),
     ("x" * 100_000, "London", "unreadable", None),
     ("", "London", "empty", None),
