@@ -39,3 +39,11 @@ def rank_value(c: Column, scaled_ms: bool = False) -> tuple[Column, Column]:
     whole = _long(c)
     kind = F.when(whole.isNotNull(), 0).when(span.isNotNull(), 1).when(stamp.isNotNull(), 2).otherwise(0)
     return kind, F.coalesce(whole, span, stamp, F.lit(0)).cast("bigint")
+
+
+def compare_versions(a: Column, b: Column) -> Column:
+    """1, 0 or -1: whether version ``a`` is newer than, equal to or older than ``b``. Parts between points count as numbers, the
+    first difference decides, and what is missing or no number is 0. Null if one is null."""
+    parts = lambda c: F.transform(F.split(c, r"\."), lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0)))
+    differences = F.filter(F.zip_with(parts(a), parts(b), lambda x, y: F.signum(F.coalesce(x, F.lit(0.0)) - F.coalesce(y, F.lit(0.0)))), lambda d: d != 0)
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.get(differences, F.lit(0)), F.lit(0.0)).cast("int"))

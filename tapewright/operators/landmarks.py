@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapewright.operators.match import clusters
+from tapewright.operators.stage import Stage
+
 #: Parts into which the files that have a hash are split.
 PARTS = 16
 
@@ -57,3 +60,18 @@ def matches(best: DataFrame, sizes: DataFrame, kind: str) -> DataFrame:
     h, q = F.col("hits"), F.col("q")
     test = {"Exact": (h >= F.floor(F.greatest("lm", F.lit(20)) / 7)) & (h >= F.floor(q * 2 / 5)), "Similar": h >= F.floor(q / 4), "Subset": h >= F.floor(q / 3)}[kind]
     return d.filter(test).select("query_id", "file_id", "delta", "hits")
+
+
+def matches_by_kind(best: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``matches`` of all kinds, under their ``kind``, from one pass over the alignments."""
+    d = best.join(sizes.select(F.col("file_id").alias("query_id"), F.col("n").alias("q")), "query_id").join(sizes.select("file_id", F.col("n").alias("lm")), "file_id")
+    h, q = F.col("hits"), F.col("q")
+    exact = (h >= F.floor(F.greatest("lm", F.lit(20)) / 7)) & (h >= F.floor(q * 2 / 5))
+    kinds = F.array_compact(F.array(F.when(exact, "Exact"), F.when(h >= F.floor(q / 4), "Similar"), F.when(h >= F.floor(q / 3), "Subset")))
+    return d.select(F.explode(kinds).alias("kind"), "query_id", "file_id", "delta", "hits")
+
+
+def match_groups(found: DataFrame, stage: Stage) -> DataFrame:
+    """file_id, group_id (smallest file of the group): files linked by ``matches``, directly or through others."""
+    links = found.select(F.least("query_id", "file_id").alias("a"), F.greatest("query_id", "file_id").alias("b")).distinct()
+    return clusters(links, stage).select(F.col("id").alias("file_id"), F.col("cluster").alias("group_id"))

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions.durations import split_seconds
-from tapewright.functions.fingerprints import all_similar, all_subsets, is_fingerprint, word_bytes, words_of
+from tapewright.functions.fingerprints import all_similar, all_subsets, is_fingerprint, is_subset, word_bytes, words_of
 from tapewright.operators.dedupe import mark_groups, preservation_keys
 from tapewright.operators.model import BIT, Preferences, add, drop
 from tapewright.operators.stage import Stage
 
 #: Fingerprints are cut into sets of about so many at least, and of so many bytes at most; each two sets are compared in one task.
 GROUP, SET_BYTES = 1024, 1 << 26
+#: Rows, and bytes of their words, that are settled in one round of ``subset_families``.
+BATCH, BATCH_BYTES = 128, 1 << 24
 
 
 def word_rows(rows: DataFrame, stage: Stage) -> DataFrame:
@@ -47,24 +49,43 @@ def _meetings(w: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame | None
     return d.repartitionById(sets * (sets + 1) // 2, F.col("cell")).drop("cell").mapInPandas(run, schema)
 
 
+def _similar(w: DataFrame, threshold: float) -> DataFrame:
+    def compare(x: pd.DataFrame, y: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
+        words = lambda d: [words_of(b) for b in d["w"]]
+        ids = x["id"].to_numpy(), (x if y is None else y)["id"].to_numpy()
+        for i, j, s in all_similar(words(x), None if y is None else words(y), threshold):
+            a, b = ids[0][i], ids[1][j]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s})
+
+    return _meetings(w, compare, "a bigint, b bigint, similarity double")
+
+
 def similar_pairs(rows: DataFrame, threshold: float, stage: Stage | None = None) -> DataFrame:
     """a, b (a < b), similarity: decodable fingerprints that are alike by at least ``threshold`` in bits over the words
     that both have.
 
     All pairs are compared, in blocks: a rule on bits leaves no key that alike fingerprints must share. At 0.8 a part of
     18 bits, as many as tell 300,000 fingerprints apart, may differ in 3; to look up all such parts takes about as much
-    as to compare all.
+    as to compare all. Copies of a fingerprint are a pair each, as every row is one here; see ``similar_classes``.
     """
-    stage = stage or Stage(rows.sparkSession, "similar")
+    return _similar(word_rows(rows, stage or Stage(rows.sparkSession, "similar")), threshold)
 
-    def compare(x: pd.DataFrame, y: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
-        words = lambda d: [words_of(b) for b in d["w"]]
-        ids = x["id"].to_numpy(), (x if y is None else y)["id"].to_numpy()
-        for i, j, s in all_similar(words(x), None if y is None else words(y), threshold):
-            a, b = ids[0][i], ids[1][j]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s})
 
-    return _meetings(word_rows(rows, stage), compare, "a bigint, b bigint, similarity double")
+def similar_classes(rows: DataFrame, threshold: float, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs), both stored: id and its class (smallest id with the same words) for each decodable fingerprint, and
+    ``similar_pairs`` of the classes. Copies are compared once, however many there are."""
+    w = word_rows(rows, stage)
+    classes = stage.put(w.groupBy("w").agg(F.min("id").alias("id")))
+    members = stage.put(w.join(classes.withColumnRenamed("id", "class"), "w").select("id", "class"))
+    return members, stage.put(_similar(classes, threshold))
+
+
+def similar_links(rows: DataFrame, threshold: float, stage: Stage | None = None) -> DataFrame:
+    """id, class, similar_classes (how many other classes are alike): a row for each decodable fingerprint."""
+    stage = stage or Stage(rows.sparkSession, "similar")
+    members, pairs = similar_classes(rows, threshold, stage)
+    n = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    return members.join(n, "class", "left").select("id", "class", F.coalesce("n", F.lit(0)).alias("similar_classes"))
 
 
 def clusters(pairs: DataFrame, stage: Stage) -> DataFrame:
@@ -89,9 +110,11 @@ def mark_similar(rows: DataFrame, prefs: Preferences, stage: Stage | None = None
     the links, so that no order of the rows matters; they have no cap."""
     stage = stage or Stage(rows.sparkSession, "similar")
     rows = stage.put(rows)
-    c = clusters(stage.put(similar_pairs(rows, prefs.similarity_threshold / 100, stage)), stage)  # stored: it is read twice
+    members, pairs = similar_classes(rows, prefs.similarity_threshold / 100, stage)
+    c = clusters(pairs, stage).withColumnRenamed("id", "class")
+    c = members.join(c, "class", "left").select("id", F.coalesce("cluster", "class").alias("cluster"))
     own = rows.columns
-    return mark_groups(rows.join(c, "id", "left"), [F.col("cluster")], F.lit(BIT["SimilarAudio"]), preservation_keys(prefs), reset=False).select(*own)
+    return mark_groups(stage.put(rows.join(c, "id", "left")), [F.col("cluster")], F.lit(BIT["SimilarAudio"]), preservation_keys(prefs), reset=False).select(*own)
 
 
 def subset_pairs(rows: DataFrame, threshold: float, stage: Stage | None = None) -> DataFrame:
@@ -120,33 +143,63 @@ def subset_pairs(rows: DataFrame, threshold: float, stage: Stage | None = None)
     return pairs.join(side("child", "co"), "child").join(side("parent", "po"), "parent").select("child", "parent", "co", "po")
 
 
-def subset_families(pairs: DataFrame, stage: Stage) -> DataFrame:
-    """child, parent: a row that occurs in an earlier parent is a child of the earliest such one; children are no parents.
+def subset_families(rows: DataFrame, threshold: float, stage: Stage) -> DataFrame:
+    """child, parent: a row that occurs in a parent that stands before it is a child of the earliest such one; all others are
+    parents, and children are none. Order and rule are those of ``subset_pairs``.
 
-    Rows are settled in rounds: one whose possible parents are all settled is a child if one of them is a parent, else a
-    parent. As possible parents stand before their children, every round settles the earliest row at least of each chain.
+    The rows are walked in order, ``BATCH`` at a time: the batch is settled by itself, then its parents take their children
+    from all rows behind it, in parallel, and those leave. So what is compared is each row with the parents before its own,
+    not with all rows, and only a batch is ever gathered.
     """
-    open_ = stage.put(pairs.select("child", "parent", "po"))
-    children = open_.select(F.col("child").alias("id")).distinct()
-    parents = open_.select(F.col("parent").alias("id")).distinct()
-    role = stage.put(parents.join(children, "id", "left_anti").withColumn("is_parent", F.lit(True)))
+    least = threshold / 100 * 0.9
+    order = rows.select("id", F.coalesce(split_seconds(F.col("duration")), F.lit(0.0)).alias("s"), F.coalesce("channels", F.lit(0)).alias("ch"))
+    place = F.struct((-F.col("s")).alias("s"), (-F.col("ch")).alias("c"), F.col("id").alias("i"))
+    stored = left = stage.put(word_rows(rows, stage).join(order, "id").select("id", place.alias("o"), "w"))
+    found = stage.append(rows.sparkSession.createDataFrame([], "child bigint, parent bigint"), "found")
     while True:
-        known = open_.join(role.withColumnRenamed("id", "parent"), "parent", "left")
-        state = known.groupBy("child").agg(F.bool_and(F.col("is_parent").isNotNull()).alias("settled"), F.coalesce(F.bool_or("is_parent"), F.lit(False)).alias("has"))
-        new = state.filter("settled").select(F.col("child").alias("id"), (~F.col("has")).alias("is_parent")).join(role, "id", "left_anti")
-        new = stage.put(new)
-        if new.isEmpty():
-            break
-        role = stage.put(role.unionByName(new))
-    ok = open_.join(role.filter("is_parent").select(F.col("id").alias("parent")), "parent")
-    return ok.groupBy("child").agg(F.min_by("parent", "po").alias("parent"))
+        batch, size = [], 0
+        for r in left.orderBy("o").limit(BATCH).collect():
+            size += len(r["w"])
+            if batch and size > BATCH_BYTES:
+                break
+            batch.append((r["id"], words_of(bytes(r["w"])), r["o"]))
+        if not batch:
+            return found
+        parents: list[tuple[int, np.ndarray]] = []
+        settled = []
+        for i, w, _ in batch:
+            first = next((p for p, v in parents if is_subset(w, v, least)), None)
+            if first is None:
+                parents.append((i, w))
+            else:
+                settled.append((i, first))
+        last = batch[-1][2]
+        behind = left.filter(F.col("o") > F.struct(F.lit(last["s"]).alias("s"), F.lit(last["c"]).alias("c"), F.lit(last["i"]).alias("i")))
+        tested = stage.put(behind.withColumn("parent", _first_parent(parents, least)("w")))
+        stage.drop(stored)
+        stored, left = tested, tested.filter("parent is null").drop("parent")
+        taken = tested.filter("parent is not null").select(F.col("id").alias("child"), "parent")
+        found = stage.append(taken.unionByName(rows.sparkSession.createDataFrame(settled, "child bigint, parent bigint")), "found")
+
+
+def _first_parent(parents: list[tuple[int, np.ndarray]], least: float):
+    ids, words = np.array([i for i, _ in parents], np.int64), [w for _, w in parents]
+
+    @F.pandas_udf("bigint")
+    def run(w: pd.Series) -> pd.Series:
+        own, best = [words_of(b) for b in w], np.full(len(w), len(words), np.int64)
+        for i, j in all_subsets(own, words, np.ones(len(own), np.int64), np.zeros(len(words), np.int64), least):
+            np.minimum.at(best, i, j)
+        return pd.Series([int(ids[k]) if k < len(words) else None for k in best], dtype="Int64")
+
+    return run
 
 
 def mark_subsets(rows: DataFrame, prefs: Preferences, stage: Stage | None = None) -> DataFrame:
     """Waveforms on parents and children; parents regain Keep, children lose it."""
     stage = stage or Stage(rows.sparkSession, "subset")
     rows = stage.put(rows)
-    fam = stage.put(subset_families(subset_pairs(rows, prefs.similarity_threshold, stage), stage))
+    fam = stage.put(subset_families(rows, prefs.similarity_threshold, stage))
     roles = fam.select(F.col("child").alias("id"), F.lit(False).alias("_up")).unionByName(fam.select(F.col("parent").alias("id"), F.lit(True).alias("_up")).distinct())
     f, own = F.col("flags"), rows.columns
     new = F.when(F.col("_up"), add(f, "Waveforms", "Keep")).when(~F.col("_up"), add(drop(f, "Keep"), "Waveforms")).otherwise(f)

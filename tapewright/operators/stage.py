@@ -48,6 +48,15 @@ class Stage:
         path = f"{self.root}/{self.n}"
         self.n += 1
         df.write.mode("overwrite").parquet(path)
+        return self._table(path, df)
+
+    def append(self, df: DataFrame, to: str) -> DataFrame:
+        """Adds rows to the table ``to`` of this run; returns all of it as it now is."""
+        path = f"{self.root}/{to}"
+        df.write.mode("append").parquet(path)
+        return self._table(path, df)
+
+    def _table(self, path: str, df: DataFrame) -> DataFrame:
         if not self._kept:
             self._on(self.root, "deleteOnExit")
         self._kept.add(path)

@@ -59,6 +59,25 @@ def inverted(shown: DataFrame, selection: DataFrame) -> DataFrame:
     return shown.select("id").join(selection.select("id"), "id", "left_anti")
 
 
+def ordered(rows: DataFrame) -> DataFrame:
+    """Rows in the order in which results show them: by root (bytes), then id."""
+    return rows.orderBy("root", "id")
+
+
+def ranged(shown: DataFrame, one: int | None, other: int | None) -> DataFrame:
+    """Ids of the shown rows between two of them, both included, in the order of results; none if one is not shown."""
+    place = F.struct("root", "id")
+    ends = shown.filter(F.col("id").isin([x for x in (one, other) if x is not None])).agg(F.min(place).alias("_a"), F.max(place).alias("_b"), F.count_distinct("id").alias("_n"))
+    both = F.lit(1 if one == other else 2)
+    return shown.join(F.broadcast(ends)).filter((F.col("_n") == both) & place.between(F.col("_a"), F.col("_b"))).select("id")
+
+
+def all_or_none(shown: DataFrame, selection: DataFrame) -> DataFrame:
+    """Nothing if something is selected, else the ids of all shown rows."""
+    some = selection.select("id").limit(1).agg(F.count(F.lit(1)).alias("_n"))
+    return shown.select("id").join(F.broadcast(some)).filter("_n = 0").select("id")
+
+
 def edited(rows: DataFrame, selection: DataFrame, how: str) -> DataFrame:
     """check drops Keep from the selected rows, uncheck adds it, toggle changes it."""
     f = F.col("flags")

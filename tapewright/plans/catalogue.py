@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import fingerprints, paths
 from tapewright.functions.durations import split_seconds
-from tapewright.functions.values import rank_value
+from tapewright.functions.values import compare_versions, rank_value
 from tapewright.operators import dedupe, edit, landmarks, match, model, normalise_instants, views
 from tapewright.operators.catalog_rows import visible_columns, working_rows
 from tapewright.operators.model import Enabled, Preferences, Rule, shown_text
 from tapewright.operators.search import search
+from tapewright.operators.stage import Stage
+from tapewright.sources import audio
+from tapewright.streaming import incremental
 
 FLAGSHIP = "search_pipeline"
 QUERIES: dict = {}
@@ -284,6 +287,10 @@ pos as (select id, i, cast('0x' || substr(h, 8 * i + 7, 2) || substr(h, 8 * i +
 fps as (select id, list(w order by i) as w from pos group by id)"""
 
 
+def _prints(spark, d) -> DataFrame:
+    return catalog(spark, d).select(F.col("rowid").alias("id"), F.col("_fingerprint").alias("fingerprint"), "duration", "channels")
+
+
 def _words(spark, d) -> DataFrame:
     c = catalog(spark, d).filter(fingerprints.is_fingerprint(F.col("_fingerprint"))).select(F.col("rowid").alias("id"), "_fingerprint")
     return fingerprints.with_words(c, "_fingerprint", "w").filter(F.size("w") > 0)
@@ -305,25 +312,92 @@ def fingerprint_features(spark, d):
     return r.select("id", F.array_join(F.transform(fingerprints.features(F.col("w")), lambda x: x.cast("string")), ",").alias("features"))
 
 
-_PAIRS = _WORDS + """,
-keys as (select id, hash(i, w, lead(w) over (partition by id order by i)) as k, lead(w) over (partition by id order by i) as nx from pos),
-cand as (select distinct a.id as a, b.id as b from keys a join keys b on a.k = b.k and a.id < b.id and a.nx is not null and b.nx is not null),
-sim as (select a, b, list_sum([32 - bit_count(xor(x.w[i], y.w[i])) for i in range(1, least(len(x.w), len(y.w)) + 1)]) / (32.0 * least(len(x.w), len(y.w))) as s
-    from cand join fps x on x.id = cand.a join fps y on y.id = cand.b),
-pairs as (select a, b, s from sim where s >= 0.8)"""
+#: Every two different fingerprints (the smallest row of each) with their likeness; d: the classes of equal ones.
+_ALIKE = _WORDS + """,
+d as (select min(id) as id, w from fps group by w), member as (select fps.id, d.id as class from fps join d using (w)),
+sim as (select x.id as a, y.id as b, list_sum(list_transform(list_zip(x.w, y.w, true), lambda p: 32 - bit_count(xor(p[1], p[2])))) / (32.0 * least(len(x.w), len(y.w))) as s
+    from d x join d y on x.id < y.id),
+alike as (select a, b, s from sim where s >= 0.8)"""
+_PAIRS = _ALIKE + """,
+pairs as (select least(p.id, q.id) as a, greatest(p.id, q.id) as b, s from alike join member p on p.class = a join member q on q.class = b
+    union all select p.id, q.id, 1.0 from member p join member q on p.class = q.class and p.id < q.id)"""
 
 
 @query("similar_pairs", _PAIRS + " select a, b, round(s, 6) as similarity from pairs")
 def similar_pairs(spark, d):
-    r = catalog(spark, d).select(F.col("rowid").alias("id"), F.col("_fingerprint").alias("fingerprint"))
-    return match.similar_pairs(r, 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return match.similar_pairs(_prints(spark, d), 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("similar_links", _ALIKE + ', n as (select c, count(*) as n from (select a as c from alike union all select b from alike) group by 1) select id, class, coalesce(n, 0) as similar_classes from member left join n on n.c = class')
+def similar_links(spark, d):
+    """A row for each fingerprint: its class of equal ones and the number of other classes that are alike."""
+    return match.similar_links(_prints(spark, d), 0.8)
+
+
+_CLUSTERS = (
+    "with recursive " + _ALIKE.replace("\nwith ", "", 1)
+    + ", e as (select a, b from alike union select b, a from alike), r(f, g) as (select a, a from e union select r.f, e.b from r join e on e.a = r.g),"
+    + " lab as (select f, min(g) as g from r group by 1), cl as (select id, coalesce(g, class) as cluster from member left join lab on f = class)"
+)
 
 
-@query("similar_clusters")
+@query(
+    "similar_clusters",
+    _CLUSTERS + ", " + _rows(PLAIN, Enabled()).replace("\nwith ", "", 1)
+    + _exact(PLAIN, "r0", "r1", " and starts_with(fingerprint, 'PCM:')") + ", r2 as (select r1.*, cluster from r1 left join cl using (id))"
+    + _marks(PLAIN, Enabled(), "r2", "r3", ["cluster"], {"simaudio": "true"}, reset=False) + f" select id, root, {SHOWN} as algorithm from r3",
+)
 def similar_clusters(spark, d):
     return _flags(match.mark_similar(dedupe.mark_exact_content(_rows_of(spark, d), PLAIN, only_hashes=True), PLAIN))
 
 
+@query("subset_pairs")
+def subset_pairs(spark, d):
+    """Every fingerprint that occurs in one before it; at these thresholds about a fifth of all pairs."""
+    return match.subset_pairs(_prints(spark, d), 80).select("child", "parent")
+
+
+@query("subset_clusters")
+def subset_clusters(spark, d):
+    return _flags(match.mark_subsets(_rows_of(spark, d), PLAIN))
+
+
+def _neighbours(spark, d) -> DataFrame:
+    """Words s and l, the shorter and the longer, of each fingerprint and that of the next row number."""
+    w = _words(spark, d)
+    n = w.join(w.select((F.col("id") - 1).alias("id"), F.col("w").alias("v")), "id")
+    swap = F.size("w") > F.size("v")
+    return n.select("id", F.when(swap, F.col("v")).otherwise(F.col("w")).alias("s"), F.when(swap, F.col("w")).otherwise(F.col("v")).alias("l"))
+
+
+_NEXT = _WORDS + """, nx as (select x.id, case when len(x.w) > len(y.w) then y.w else x.w end as s, case when len(x.w) > len(y.w) then x.w else y.w end as l from fps x join fps y on y.id = x.id + 1)"""
+_PATTERN = "[{0}[i] & {0}[i + 1] for i in range(1, len({0}))]"
+
+
+@query("feature_match", _NEXT + f", pt as (select id, {_PATTERN.format('s')} as p, {_PATTERN.format('l')} as q from nx) select id, case when len(p) > 0 then round(len(list_filter(q, lambda x: list_contains(p, x))) / len(p), 6) end as ratio from pt")
+def feature_match(spark, d):
+    return _neighbours(spark, d).select("id", F.round(fingerprints.feature_ratio(F.col("s"), F.col("l")), 6).alias("ratio"))
+
+
+_SHIFT = "list_sum(list_transform(list_zip({0}, {1}, true), lambda p: 32 - bit_count(xor(p[1], p[2])))) / (32.0 * least(len({0}), len({1})))"
+
+
+@query(
+    "similarity_shifted",
+    _NEXT + ", sh as (select id, s, l, unnest(range(4)) as k from nx), one as (select id, "
+    + f"case when len(s[k + 1:]) > 0 then {_SHIFT.format('s[k + 1:]', 'l')} else 0.0 end as u, case when len(l[k + 1:]) > 0 then {_SHIFT.format('l[k + 1:]', 's')} else 0.0 end as v from sh)"
+    + " select id, round(max(greatest(u, v)), 6) as similarity from one group by id",
+)
+def similarity_shifted(spark, d):
+    return _neighbours(spark, d).select("id", F.round(fingerprints.similarity_shifted(F.col("s"), F.col("l")), 6).alias("similarity"))
+
+
+@query("flexible_similarity")
+def flexible_similarity(spark, d):
+    """Longest common subsequence of features over the shorter one's features, of each fingerprint and the next."""
+    return _neighbours(spark, d).select("id", F.round(fingerprints.flexible("s", "l"), 6).alias("similarity"))
+
+
 @query(
     "landmark_match",
     """with q as (select file_id as query_id, hash, time_offset as tq, count(*) as nq from fingerprints where file_id is not null and hash is not null and time_offset is not null and file_id % 50 = 0 group by 1, 2, 3),
@@ -337,8 +411,110 @@ def landmark_match(spark, d):
     return landmarks.best_alignments(x.filter(F.col("file_id") % 50 == 0), x)
 
 
-# find, replace, edits
+_BEST = """with q as (select file_id as query_id, hash, time_offset as tq, count(*) as nq from fingerprints where file_id is not null and hash is not null and time_offset is not null and file_id % 50 = 0 group by 1, 2, 3),
+    x as (select file_id, hash, time_offset, count(*) as nx from fingerprints where file_id is not null and hash is not null and time_offset is not null group by 1, 2, 3),
+    v as (select query_id, file_id, time_offset - tq as delta, sum(nq * nx) as hits from q join x using (hash) where query_id <> file_id group by 1, 2, 3),
+    best as (select query_id, file_id, delta, cast(hits as bigint) as hits from (select *, row_number() over (partition by query_id, file_id order by hits desc, delta) as i from v) where i = 1),
+    sizes as (select file_id, count(*) as n from fingerprints where file_id is not null and hash is not null and time_offset is not null group by 1)"""
+
+
+@query(
+    "landmark_matches",
+    _BEST + """, k as (select b.*, a.n as q, c.n as lm from best b join sizes a on a.file_id = b.query_id join sizes c on c.file_id = b.file_id)
+    select 'Exact' as kind, query_id, file_id, delta, hits from k where hits >= greatest(lm, 20) // 7 and hits >= q * 2 // 5
+    union all select 'Similar', query_id, file_id, delta, hits from k where hits >= q // 4 union all select 'Subset', query_id, file_id, delta, hits from k where hits >= q // 3""",
+)
+def landmark_matches(spark, d):
+    """Files that match a query file, by the thresholds of each kind of search."""
+    x = table(spark, d, "fingerprints")
+    best = landmarks.best_alignments(x.filter(F.col("file_id") % 50 == 0), x)
+    sizes = x.select("file_id", "hash", "time_offset").dropna().groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    return landmarks.matches_by_kind(best, sizes)
+
+
+@query("landmark_groups", "with recursive " + _BEST.replace("with ", "", 1) + """, k as (select b.*, a.n as q from best b join sizes a on a.file_id = b.query_id), l as (select query_id as a, file_id as b from k where hits >= q // 3),
+    e as (select a, b from l union select b, a from l), r(f, g) as (select a, a from e union select r.f, e.b from r join e on e.a = r.g) select f as file_id, min(g) as group_id from r group by 1""")
+def landmark_groups(spark, d):
+    """Files linked by subset matches, under the smallest of each group."""
+    x = table(spark, d, "fingerprints")
+    stage = Stage(spark, "landmarks")
+    best = landmarks.best_alignments(x.filter(F.col("file_id") % 50 == 0), x)
+    sizes = x.select("file_id", "hash", "time_offset").dropna().groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    return landmarks.match_groups(stage.put(landmarks.matches(best, sizes, "Subset")), stage)
+
 
+@query("index_without_files", "select hash, file_id, time_offset from fingerprints where file_id is null or file_id not in (select rowid from justinmetadata where channels = 1)")
+def index_without_files(spark, d):
+    gone = catalog(spark, d).filter("channels = 1").select(F.col("rowid").alias("file_id"))
+    return landmarks.remove_files(table(spark, d, "fingerprints"), gone).select("hash", "file_id", "time_offset")
+
+
+# analysis and sound
+
+_CACHE = "(select file_id as rowid, case when hash is null then 'FAILED' else cast(hash as varchar) end as value, time_offset as done_at from fingerprints where file_id is not null)"
+
+
+@query(
+    "pending_analysis",
+    f"with l as (select rowid, value from (select *, row_number() over (partition by rowid order by done_at desc nulls last, value desc) as i from {_CACHE}) where i = 1)"
+    " select rowid from justinmetadata where rowid not in (select rowid from l where value <> 'FAILED')",
+)
+def pending_analysis(spark, d):
+    """Rows that have no result, or a failed one."""
+    value = F.coalesce(F.col("hash").cast("string"), F.lit("FAILED"))
+    cache = table(spark, d, "fingerprints").filter("file_id is not null").select(F.col("file_id").alias("rowid"), value.alias("value"), F.col("time_offset").alias("at"))
+    return incremental.pending(catalog(spark, d), cache).select("rowid")
+
+
+_SOUND = "(select vec_id, case when vec_id % 3 = 0 then list_transform(range(128), lambda i: embedding[i // 2 + 1]::double) when vec_id % 3 = 1 then list_transform(embedding, lambda x: x::double) else list_transform(range(128), lambda i: embedding[i // 2 + 1]::double + (i % 2) * 0.00005) end as x, case when vec_id % 2 = 0 then 0.0001 else 0.000001 end as eps from embeddings)"
+
+
+def _sound(spark, d) -> DataFrame:
+    """Interleaved stereo: every third one with both channels alike, every third with channels that differ slightly."""
+    e = table(spark, d, "embeddings").withColumn("e", F.transform("embedding", lambda x: x.cast("double")))
+    twice = lambda f: F.flatten(F.transform("e", lambda x: F.array(x, f(x))))
+    x = F.when(F.col("vec_id") % 3 == 0, twice(lambda x: x)).when(F.col("vec_id") % 3 == 1, F.col("e")).otherwise(twice(lambda x: x + 0.00005))
+    path = F.concat(F.lit("/sound/"), F.col("vec_id"), F.when(F.col("vec_id") % 2 == 0, ".aif").otherwise(".wav"))
+    return e.select("vec_id", x.alias("samples"), F.lit(2).alias("channels"), path.alias("path"))
+
+
+@query("dual_mono", f"select vec_id, len(list_filter(range(0, len(x), 2), lambda i: abs(x[i + 1] - x[i + 2]) > eps)) = 0 as dual_mono from {_SOUND}")
+def dual_mono(spark, d):
+    s = _sound(spark, d)
+    return s.select("vec_id", audio.channels_identical(F.col("samples"), F.col("channels"), F.col("path")).alias("dual_mono"))
+
+
+@query("mixdown", f"select vec_id, round(list_sum(list_transform(range(0, len(x), 2), lambda i: abs((x[i + 1] + x[i + 2]) / 2))), 6) as loudness from {_SOUND}")
+def mixdown(spark, d):
+    s = _sound(spark, d).select("vec_id", audio.mixed_down(F.col("samples"), F.col("channels")).alias("m"))
+    return s.select("vec_id", F.round(F.aggregate("m", F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("loudness"))
+
+
+@query("sample_statistics", "select vec_id, round(list_avg(embedding::double[]), 6) as mean, round(list_var_pop(embedding::double[]), 6) as variance, round(list_max(embedding::double[]), 6) as maximum from embeddings")
+def sample_statistics(spark, d):
+    s = table(spark, d, "embeddings").select("vec_id", audio.statistics(F.col("embedding")).alias("s"))
+    return s.select("vec_id", *(F.round(f"s.{c}", 6).alias(c) for c in ("mean", "variance", "maximum")))
+
+
+@query(
+    "ixml_tags",
+    r"""with l as (select doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r]')) as line from documents),
+    k as (select doc_id, regexp_extract(line, '(?s)\A([^=]*)=', 1) as k, regexp_extract(line, '(?s)\A[^=]*=(.*)\z', 1) as v from l where contains(line, '='))
+    select doc_id, regexp_replace(k, '\A[ \t]+|[ \t]+\z', '', 'g') as key, regexp_replace(v, '\A[ \t]+|[ \t]+\z', '', 'g') as value from k""",
+)
+def ixml_tags(spark, d):
+    """key=value lines of whole texts, as embedded text tags are read."""
+    return table(spark, d, "documents").select("doc_id", F.inline(audio.tag_lines(F.col("text"))))
+
+
+@query("version_order", "select rowid, sign(case when channels <> bitdepth % 3 then channels - bitdepth % 3 else samplerate % 7 end) as newer from justinmetadata where channels is not null and bitdepth is not null and samplerate is not null")
+def version_order(spark, d):
+    c = catalog(spark, d).filter("channels is not null and bitdepth is not null and samplerate is not null")
+    a = F.concat_ws(".", "channels", F.col("samplerate") % 7)
+    return c.select("rowid", compare_versions(a, (F.col("bitdepth") % 3).cast("string")).cast("int").alias("newer"))
+
+
+# find, replace, edits
 
 
 @query("find_like", "select rowid as id, filename, 'Replace' as algorithm from justinmetadata where filename ilike '%wat_mi%so%'")
@@ -438,7 +614,7 @@ def _selection(spark, d) -> DataFrame:
 
 for _name, _where in (
     ("All", "true"), ("Keep", "keep"), ("Remove", "not keep"), ("Relevant", f"not keep or {_COUNT} > 1"), ("basic", "basic"), ("filename", "simname"),
-    ("duration", "dur"), ("waveform", "wave or simaudio"),
+    ("duration", "dur"),
 ):
 
     def _run(spark, d, name=_name):
@@ -447,6 +623,11 @@ for _name, _where in (
     query(f"filter_{_name.lower()}", _BASE_SQL + f" select id, root, {SHOWN} as algorithm from r1 where {_where}")(_run)
 
 
+@query("filter_waveform", _BASE_SQL + _exact(SIMILAR, "r1", "r2") + f" select id, root, {SHOWN} as algorithm from r2 where wave or simaudio")
+def filter_waveform(spark, d):
+    return _flags(views.filtered(dedupe.mark_exact_content(Stage(spark, "filter").put(_base(spark, d)), SIMILAR), "waveform"))
+
+
 @query("filter_relevant_of_none", _rows(PLAIN, Enabled()) + f" select id, root, {SHOWN} as algorithm from r0")
 def filter_relevant_of_none(spark, d):
     return _flags(views.filtered(_rows_of(spark, d), "Relevant"))
@@ -477,6 +658,28 @@ def toggle_checks(spark, d):
     return _flags(views.edited(_base(spark, d), _selection(spark, d), "toggle"))
 
 
+for _how, _keep in (("check", "false"), ("uncheck", "true")):
+
+    def _run(spark, d, how=_how):
+        return _flags(views.edited(_base(spark, d), _selection(spark, d), how))
+
+    query(f"{_how}_rows", _BASE_SQL + f", t as (select * replace (case when id in {_SELECTED} then {_keep} else keep end as keep) from r1) select id, root, {SHOWN} as algorithm from t")(_run)
+
+
+@query("selection_range", _BASE_SQL + ", e as (select min(id) as a, max(id) as b from r1 where not keep), p as (select root, id from r1, e where id in (e.a, e.b)) select id from r1 where not keep and (root, id) >= (select min((root, id)) from p) and (root, id) <= (select max((root, id)) from p)")
+def selection_range(spark, d):
+    """All shown rows from one to another, in the order of results."""
+    shown = Stage(spark, "range").put(views.filtered(_base(spark, d), "Remove").select("id", "root"))
+    ends = shown.agg(F.min("id"), F.max("id")).first()
+    return views.ranged(shown, *ends)
+
+
+@query("selection_all", _BASE_SQL + f" select id from r1 where not keep")
+def selection_all(spark, d):
+    """With nothing selected all shown rows are selected."""
+    return views.all_or_none(views.filtered(_base(spark, d), "Remove"), _selection(spark, d).limit(0))
+
+
 @query("work_list", _BASE_SQL + f" select id, file_path, 'remove' as action from r1 where not keep and id in {_SELECTED}")
 def work_list(spark, d):
     return views.work_list(_base(spark, d), _selection(spark, d))
@@ -496,4 +699,10 @@ def search_pipeline(spark, d):
     return views.result_rows(search(catalog(spark, d), FULL, FULL_PREFS, table(spark, d, "compare_catalog"), there))
 
 
+@query("search_ordered", _BASE_SQL + f" select id, root, {SHOWN} as algorithm from r1")
+def search_ordered(spark, d):
+    """Results in their final order, by root and id."""
+    return _flags(views.ordered(_base(spark, d)))
+
+
 QUERIES |= {"p3_found": normalise_instants.p3_found, "p3_status_report": normalise_instants.p3_status_report}

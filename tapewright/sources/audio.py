@@ -146,6 +146,66 @@ def mixed_down(samples: Column, channels: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), frame)).otherwise(F.array().cast("array<double>"))
 
 
+def statistics(samples: Column) -> Column:
+    """Struct of mean, variance (of the population) and maximum; nulls for no samples, and a variance of 0 as for silence."""
+    n, x = F.size(samples), F.transform(samples, lambda x: x.cast("double"))
+    mean = F.when(n > 0, F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n)
+    square = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
+    return F.struct(mean.alias("mean"), F.when(n > 0, square / n).otherwise(0.0).alias("variance"), F.array_max(x).alias("maximum"))
+
+
+def first_channel(files: DataFrame, bits: int = 24) -> DataFrame:
+    """path, content: a WAV file of the first channel alone for each readable file of several channels; the files themselves
+    stay as they are. files: path, content."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [(p, encode_wav(d[2][:: d[1]], d[0], 1, bits)) for p, c in zip(b["path"], b["content"], strict=True) if c is not None and (d := pcm(c)) and d[1] > 1]
+            yield pd.DataFrame(got, columns=["path", "content"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, content binary")
+
+
+def sinc_resampled(x: np.ndarray, rate: int, to: int, half: int = 128, cutoff: float = 0.95) -> np.ndarray:
+    """One channel at another rate, by a sinc of ``half`` zero crossings to each side in a Blackman-Harris window (squared)."""
+    if rate == to or not len(x):
+        return np.asarray(x, np.float32)
+    n, scale = int(len(x) * to / rate), min(1.0, to / rate) * cutoff
+    width = int(np.ceil(half / min(1.0, to / rate)))
+    padded = np.concatenate([np.zeros(width), np.asarray(x, np.float64), np.zeros(width + 1)])
+    out, steps = np.empty(n, np.float32), np.arange(-width + 1, width + 1)
+    for start in range(0, n, 4096):
+        at = np.arange(start, min(n, start + 4096)) * (rate / to)
+        whole = np.floor(at).astype(np.int64)
+        d = steps - (at - whole)[:, None]
+        u = np.clip(d / width, -1, 1) * np.pi
+        window = (0.35875 + 0.48829 * np.cos(u) + 0.14128 * np.cos(2 * u) + 0.01168 * np.cos(3 * u)) ** 2
+        out[start : start + len(at)] = (padded[whole[:, None] + steps + width] * np.sinc(d * scale) * window).sum(1) * scale
+    return out
+
+
+def raw_pcm(decoded: DataFrame, to: int = 48_000, most: int = 10 * 60 * 48_000) -> DataFrame:
+    """path, pcm: little-endian 32-bit floats, interleaved, at ``to`` samples a second; what lies beyond ``most`` samples, counted
+    over all channels, is cut off. decoded: ``DECODED``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = []
+            for p, r, ch, s in zip(b["path"], b["samplerate"], b["channels"], b["samples"], strict=True):
+                s = np.asarray(s, np.float32)
+                s = s[: len(s) // ch * ch].reshape(-1, ch)
+                s = s[: int(most // ch * (r / to)) + 1]
+                got.append((p, np.stack([sinc_resampled(s[:, k], r, to) for k in range(ch)], 1).ravel()[:most].astype("<f4").tobytes()))
+            yield pd.DataFrame(got, columns=["path", "pcm"])
+
+    return decoded.mapInPandas(run, "path string, pcm binary")
+
+
+def as_integers(samples: Column) -> Column:
+    """Samples as 16-bit whole numbers, cut towards zero."""
+    return F.transform(samples, lambda x: (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)) * 32767).cast("smallint"))
+
+
 def resampled(samples: Column, rate: Column, to: int) -> Column:
     """By linear interpolation."""
 
@@ -170,6 +230,32 @@ def text_tags(text: str) -> list[tuple[str, str]]:
     return [(k.strip(), v.strip()) for line in text.splitlines() if "=" in line for k, v in [line.split("=", 1)]]
 
 
+def tag_lines(text: Column) -> Column:
+    """``text_tags`` as an expression: an array of structs of key and value."""
+    lines = F.filter(F.split(text, r"\r\n|[\n\r]", -1), lambda x: x.contains("="))
+    edge = r"\A[ \t]+|[ \t]+\z"
+    part = lambda x, i: F.regexp_replace(F.regexp_extract(x, r"(?s)\A([^=]*)=(.*)\z", i), edge, "")
+    return F.transform(lines, lambda x: F.struct(part(x, 1).alias("key"), part(x, 2).alias("value")))
+
+
+def flac_tags(content: bytes) -> Iterator[tuple[str, str]]:
+    """Names and values of the Vorbis comments of a FLAC file."""
+    at, last = 4, content[:4] != b"fLaC"
+    while not last and at + 4 <= len(content):
+        last, kind, size = content[at] >> 7, content[at] & 127, int.from_bytes(content[at + 1 : at + 4], "big")
+        block, at = content[at + 4 : at + 4 + size], at + 4 + size
+        if kind == 4 and len(block) >= 8:
+            p = 8 + int.from_bytes(block[:4], "little")
+            for _ in range(int.from_bytes(block[p - 4 : p], "little")):
+                n = int.from_bytes(block[p : p + 4], "little")
+                if p + 4 + n > len(block):
+                    return
+                name, eq, value = block[p + 4 : p + 4 + n].decode("utf-8", "replace").partition("=")
+                if eq:
+                    yield name, value
+                p += 4 + n
+
+
 def riff_chunks(content: bytes) -> Iterator[tuple[str, str, str | None, str | None, bytes]]:
     """(chunk_id, kind, key, value, data) of each chunk of a RIFF file that is not sound; sizes are padded to even."""
     if content[:4] != b"RIFF" or len(content) < 12:
@@ -194,6 +280,7 @@ def metadata_chunks(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [(p, *x) for p, c in zip(b["path"], b["content"], strict=True) if c is not None for x in riff_chunks(c)]
+            got += [(p, "VORBIS_COMMENT", "TextTag", k, v, b"") for p, c in zip(b["path"], b["content"], strict=True) if c is not None for k, v in flac_tags(c)]
             yield pd.DataFrame(got, columns=["path", "chunk_id", "kind", "key", "value", "data"])
 
     return files.select("path", "content").mapInPandas(run, CHUNKS)
@@ -204,9 +291,16 @@ def mono_channel_text(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)\b(CHANNELS\s*=\s*|<TRACK_COUNT>\s*)2\b", "$1" + "1")
 
 
-def stft_peaks(samples: np.ndarray, rate: int, window: int = 1024, hop: int = 512, per_frame: int = 5) -> list[tuple[float, int]]:
-    """(seconds, frequency bin) of the strongest local maxima of each frame of a Hann-windowed spectrogram."""
+def stft_peaks(samples: np.ndarray, rate: int, window: int = 1024, hop: int = 512, per_frame: int = 5, per_second: int = 0) -> list[tuple[float, int]]:
+    """(seconds, frequency bin) of the strongest local maxima of each frame of a Hann-windowed spectrogram, or, if
+    ``per_second`` is given, of the strongest of the whole sound, so many for a second."""
     out = []
+    if per_second:
+        a = np.abs(np.array([np.fft.rfft(samples[k : k + window] * np.hanning(window)) for k in range(0, len(samples) - window + 1, hop)])).reshape(-1, window // 2 + 1)
+        near = np.lib.stride_tricks.sliding_window_view(np.pad(a, 3, constant_values=-1), (7, 7)).max((2, 3)) if a.size else a
+        t, f = np.nonzero((a == near) & (a > 0))
+        top = np.argsort(-a[t, f], kind="stable")[: int(len(a) * per_second * hop / rate)]
+        return sorted((t[i] * hop / rate, int(f[i])) for i in top)
     for k in range(0, len(samples) - window + 1, hop):
         a = np.abs(np.fft.rfft(samples[k : k + window] * np.hanning(window)))
         top = np.flatnonzero((a[1:-1] > a[:-2]) & (a[1:-1] > a[2:]) & (a[1:-1] > a.mean())) + 1

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import os
 import shutil
+import threading
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tapewright.operators.catalog_rows import visible_columns
+from tapewright.operators.edit import find_predicate
 from tapewright.operators.model import Enabled, Preferences
 from tapewright.operators.search import search
 from tapewright.sources import sqlite
 
+T = TypeVar("T")
+#: Seconds that a find may take.
+FIND_SECONDS = 60
+
 
 @dataclass
 class Catalog:
@@ -59,19 +67,54 @@ class Catalog:
             self.rows().write.mode("errorifexists").parquet(to)
         return Catalog(self.spark, to, self.table)
 
+    def close(self) -> None:
+        """Ends what still runs for this catalog."""
+        self.cancel()
+
+    def progress(self) -> list[dict]:
+        """Of each active stage: its name, and its tasks in all, done and running."""
+        t = self.spark.sparkContext.statusTracker()
+        stages = filter(None, map(t.getStageInfo, t.getActiveStageIds()))
+        return [{"stage": s.name, "tasks": s.numTasks, "done": s.numCompletedTasks, "running": s.numActiveTasks} for s in stages]
+
+    def within(self, seconds: float, action: Callable[[], T]) -> T:
+        """The result of ``action``; its jobs are stopped, and TimeoutError is raised, after so many seconds."""
+        late = threading.Event()
+
+        def stop() -> None:
+            late.set()
+            self.cancel()
+
+        timer = threading.Timer(seconds, stop)
+        timer.start()
+        try:
+            with self.running():
+                return action()
+        except Exception as e:
+            if late.is_set():
+                raise TimeoutError(f"stopped after {seconds} s") from e
+            raise
+        finally:
+            timer.cancel()
+
+    def find(self, column: str, text: str, case_sensitive: bool = False, seconds: float = FIND_SECONDS) -> list[dict]:
+        """Rows whose column matches, read within a time limit."""
+        rows = self.rows()
+        return self.within(seconds, lambda: [r.asDict() for r in rows.filter(find_predicate(rows[column], text, case_sensitive)).collect()])
+
     def cancel(self) -> None:
         """Stops running jobs that were started under ``running``."""
-        self.spark.interruptTag(self.tag)
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)  # a session's own tags are known to one thread only
 
     def running(self):
         """Context in which jobs carry the catalog's tag and description."""
-        spark, tag = self.spark, self.tag
+        context, tag = self.spark.sparkContext, self.tag
 
         class Tagged:
             def __enter__(self):
-                spark.addTag(tag)
+                context.addJobTag(tag)
 
             def __exit__(self, *_):
-                spark.removeTag(tag)
+                context.removeJobTag(tag)
 
         return Tagged()

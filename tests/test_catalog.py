@@ -247,11 +247,13 @@ def test_similar_recall_and_clusters(spark, monkeypatch, group):
     assert kept == len(set(c.values()))
 
 
-def test_subset_families(spark):
-    p = [(2, 1, (1,)), (3, 2, (2,)), (3, 1, (1,)), (5, 4, (4,)), (6, 5, (5,)), (7, 6, (6,))]
-    d = spark.createDataFrame(p, "child bigint, parent bigint, po struct<i:bigint>")
-    got = {r["child"]: r["parent"] for r in match.subset_families(d, Stage(spark, "t")).collect()}
-    assert got == {2: 1, 3: 1, 5: 4, 7: 6}
+def test_ranges_and_order(spark):
+    d = spark.createDataFrame([(3, "b"), (1, "c"), (2, "b"), (4, "a")], "id bigint, root string")
+    assert [r["id"] for r in views.ordered(d).collect()] == [4, 2, 3, 1]
+    ids = lambda x: sorted(r["id"] for r in x.collect())
+    assert ids(views.ranged(d, 3, 4)) == [2, 3, 4] and ids(views.ranged(d, 3, 3)) == [3] and ids(views.ranged(d, 3, 99)) == [] and ids(views.ranged(d, None, 1)) == []
+    some = spark.createDataFrame([(7,)], "id bigint")
+    assert ids(views.all_or_none(d, some)) == [] and ids(views.all_or_none(d, some.limit(0))) == [1, 2, 3, 4]
 
 
 def test_landmarks(spark):

@@ -57,3 +57,32 @@ def test_subset_pairs_are_all_pairs(spark, monkeypatch, group):
     got = match.subset_pairs(catalog(spark, words), 80, Stage(spark, "t")).collect()
     assert {(r["child"], r["parent"]) for r in got} == want and len(got) == len(want)
     assert all((r["po"]["s"], r["po"]["c"], r["po"]["i"]) < (r["co"]["s"], r["co"]["c"], r["co"]["i"]) for r in got)
+
+
+@pytest.mark.parametrize("batch", [1, 3, 128])
+def test_subset_families_are_the_walk(spark, monkeypatch, batch):
+    monkeypatch.setattr(match, "BATCH", batch)
+    rng, words = np.random.default_rng(8), []
+    for n in (20, 40, 64):
+        long = random_words(rng, n)
+        words += [long, long.copy(), long[3:11], long[1 : n - 3], long[5 : n - 5], flipped(rng, long[4:14], 0.1)]
+    words += [random_words(rng, n) for n in (5, 18, 33)]
+    order = lambda i: (-(len(words[i]) // 8), -(1 + i % 2), i)
+    want, parents = {}, []
+    for i in sorted(range(len(words)), key=order):
+        p = next((p for p in parents if fp.is_subset(words[i], words[p], 0.72)), None)
+        if p is None:
+            parents.append(i)
+        else:
+            want[i] = p
+    got = match.subset_families(catalog(spark, words), 80, Stage(spark, "t")).collect()
+    assert {r["child"]: r["parent"] for r in got} == want and len(got) == len(want) > 6
+    assert match.subset_families(catalog(spark, words).limit(0), 80, Stage(spark, "t")).collect() == []
+
+
+def test_similar_classes(spark):
+    rng = np.random.default_rng(5)
+    base = random_words(rng, 20)
+    words = [base, base.copy(), flipped(rng, base, 0.1), random_words(rng, 20), base.copy()]
+    got = {r["id"]: (r["class"], r["similar_classes"]) for r in match.similar_links(catalog(spark, words), 0.8).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (2, 1), 3: (3, 0), 4: (0, 1)}

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tapewright.functions.values import compare_versions
 from tapewright.operators.model import Enabled, Preferences
 from tapewright.operators.stage import Stage, shared_folder
 from tapewright.sources import audio, sqlite
@@ -59,6 +60,12 @@ def test_catalog(spark, db):
     assert (c.size(), copy.size()) == (10, 9)
     with c.running():
         assert c.size() == 10
+    assert len(c.find("Filename", "X1")) == 3 and c.find("Filename", "X1", True) == [] and c.progress() == []
+    assert c.within(60, c.size) == 10
+    slow = F.udf(lambda x: __import__("time").sleep(20) or x, "bigint")
+    with pytest.raises(TimeoutError):
+        c.within(1, lambda: spark.range(2).select(slow("id")).collect())
+    c.close()
 
 
 @pytest.mark.parametrize("bits", [16, 24])
@@ -78,6 +85,38 @@ def test_wav_round_trip_and_dual_mono(spark, tmp_path, bits):
     chans = one.select(audio.deinterleave(F.col("samples"), F.col("channels")).alias("c"), audio.mixed_down(F.col("samples"), F.col("channels")).alias("m"), audio.resampled(F.col("samples"), F.col("samplerate"), 24000).alias("r")).first()
     assert np.allclose(chans["c"][0], y[::2]) and np.allclose(chans["m"], 0, atol=1e-4) and len(chans["r"]) == 800
     assert audio.listing(spark, str(tmp_path), "*.wav").count() == 5
+    first = {r["path"].rsplit("/", 1)[-1]: audio.pcm(bytes(r["content"])) for r in audio.first_channel(files).collect()}
+    assert set(first) == {"same.wav", "other.wav", "none.wav"} and first["other.wav"][1] == 1 and np.abs(first["other.wav"][2] - x).max() < 2 / (1 << (bits - 1))
+    raw = {r["path"].rsplit("/", 1)[-1]: np.frombuffer(r["pcm"], "<f4") for r in audio.raw_pcm(d, 48000, 100).collect()}
+    assert np.allclose(raw["other.wav"], y[:100]) and len(raw["none.wav"]) == 0
+
+
+def test_sinc_and_statistics(spark):
+    x = np.sin(2 * np.pi * 1000 * np.arange(4800) / 48000)
+    y = audio.sinc_resampled(x, 48000, 44100)
+    assert len(y) == 4410 and np.abs(y - np.sin(2 * np.pi * 1000 * np.arange(4410) / 44100))[300:-300].max() < 1e-3
+    assert len(audio.sinc_resampled(np.empty(0), 8000, 48000)) == 0
+    d = spark.createDataFrame([([1.0, 2.0, 6.0],), ([],)], "s array<double>")
+    got = [r[0] for r in d.select(audio.statistics(F.col("s"))).collect()]
+    assert got[0] == (3.0, 14 / 3, 6.0) and got[1] == (None, 0.0, None)
+    assert d.select(audio.as_integers(F.array(F.lit(-2.0), F.lit(0.5)))).first()[0] == [-32767, 16383]
+    assert audio.stft_peaks(np.concatenate([x, x]), 48000, per_second=20)[0][1] in (21, 22) and audio.stft_peaks(np.empty(0), 48000, per_second=20) == []
+
+
+def test_flac_tags():
+    def block(kind, data, last=False):
+        return bytes([kind | (128 if last else 0)]) + len(data).to_bytes(3, "big") + data
+
+    text = lambda t: len(t.encode()).to_bytes(4, "little") + t.encode()
+    comments = text("maker") + (3).to_bytes(4, "little") + text("TITLE=Sea = blue") + text("nothing") + text("ARTIST=é")
+    flac = b"fLaC" + block(0, b"\0" * 34) + block(4, comments, True)
+    assert list(audio.flac_tags(flac)) == [("TITLE", "Sea = blue"), ("ARTIST", "é")]
+    assert list(audio.flac_tags(b"RIFF")) == [] and list(audio.flac_tags(flac[:70])) == []
+
+
+def test_versions(spark):
+    d = spark.createDataFrame([("1.2", "1.2.0"), ("1.10", "1.9"), ("2", "10.0"), ("x.1", "0"), (None, "1")], "a string, b string")
+    assert [r[0] for r in d.select(compare_versions(F.col("a"), F.col("b"))).collect()] == [0, 1, -1, 1, None]
 
 
 def test_metadata(spark, tmp_path):
