@@ -1,4 +1,4 @@
-"""Audio files as rows: PCM from WAV and AIFF, embedded metadata, and whether all channels are the same."""
+"""Audio files as rows: PCM from WAV, AIFF and FLAC, embedded metadata, and whether all channels are the same."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.sources import flac
+
 # How far channels may differ, by file type; RIFF chunks that hold no metadata.
 TOLERANCE, TOLERANCE_AIFF = 1e-6, 1e-4
 DATA_CHUNKS = ("fmt ", "data")
@@ -82,10 +84,12 @@ def _aiff(content: bytes) -> tuple[int, int, np.ndarray] | None:
 
 
 def pcm(content: bytes) -> tuple[int, int, np.ndarray] | None:
-    """Rate, channels and interleaved samples of a WAV file of 8, 16, 24 or 32 bits or of floating-point numbers, or of an
-    uncompressed AIFF or AIFF-C file; None for anything else."""
+    """Rate, channels and interleaved samples of a WAV file of 8, 16, 24 or 32 bits or of floating-point numbers, of an
+    uncompressed AIFF or AIFF-C file, or of a FLAC file; None for anything else."""
     if content[:4] == b"FORM":
         return _aiff(content)
+    if content[:4] == b"fLaC":
+        return flac.decode(content)
     try:
         with wave.open(io.BytesIO(content)) as w:
             width, channels, raw = w.getsampwidth(), w.getnchannels(), w.readframes(w.getnframes())
