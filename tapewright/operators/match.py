@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapewright.functions.bind import bind
 from tapewright.functions.durations import split_seconds
 from tapewright.functions.fingerprints import all_similar, all_subsets, is_fingerprint, is_subset, word_bytes, words_of
 from tapewright.operators.dedupe import mark_groups, preservation_keys
@@ -24,7 +25,8 @@ BATCH, BATCH_BYTES = 128, 1 << 24
 
 def word_rows(rows: DataFrame, stage: Stage) -> DataFrame:
     """id, w (bytes of the words, at least one) of decodable fingerprints."""
-    d = rows.filter(is_fingerprint(F.col("fingerprint"))).select("id", word_bytes(F.col("fingerprint")).alias("w"))
+    d = bind(rows.filter(is_fingerprint(F.col("fingerprint"))).select("id", "fingerprint"), b=word_bytes(F.col("fingerprint")))
+    d = d.select("id", F.substring("b", F.lit(1), F.length("b") - F.length("b") % 4).alias("w"))
     return stage.put(d.filter(F.col("id").isNotNull() & (F.length("w") >= 4)))
 
 

@@ -386,10 +386,10 @@ _SHIFT = "list_sum(list_transform(list_zip({0}, {1}, true), lambda p: 32 - bit_c
     "similarity_shifted",
     _NEXT + ", sh as (select id, s, l, unnest(range(4)) as k from nx), one as (select id, "
     + f"case when len(s[k + 1:]) > 0 then {_SHIFT.format('s[k + 1:]', 'l')} else 0.0 end as u, case when len(l[k + 1:]) > 0 then {_SHIFT.format('l[k + 1:]', 's')} else 0.0 end as v from sh)"
-    + " select id, round(max(greatest(u, v)), 6) as similarity from one group by id",
+    + " select id, max(greatest(u, v)) as similarity from one group by id",
 )
 def similarity_shifted(spark, d):
-    return _neighbours(spark, d).select("id", F.round(fingerprints.similarity_shifted(F.col("s"), F.col("l")), 6).alias("similarity"))
+    return _neighbours(spark, d).select("id", fingerprints.similarity_shifted(F.col("s"), F.col("l")).alias("similarity"))
 
 
 @query("flexible_similarity")
@@ -432,15 +432,15 @@ def landmark_matches(spark, d):
     return landmarks.matches_by_kind(best, sizes)
 
 
-@query("landmark_groups", "with recursive " + _BEST.replace("with ", "", 1) + """, k as (select b.*, a.n as q from best b join sizes a on a.file_id = b.query_id), l as (select query_id as a, file_id as b from k where hits >= q // 3),
+@query("landmark_groups", "with recursive " + _BEST.replace("with ", "", 1) + """, k as (select b.*, a.n as q from best b join sizes a on a.file_id = b.query_id), l as (select query_id as a, file_id as b from k where hits >= q // 4),
     e as (select a, b from l union select b, a from l), r(f, g) as (select a, a from e union select r.f, e.b from r join e on e.a = r.g) select f as file_id, min(g) as group_id from r group by 1""")
 def landmark_groups(spark, d):
-    """Files linked by subset matches, under the smallest of each group."""
+    """Files linked by similar matches, under the smallest of each group."""
     x = table(spark, d, "fingerprints")
     stage = Stage(spark, "landmarks")
     best = landmarks.best_alignments(x.filter(F.col("file_id") % 50 == 0), x)
     sizes = x.select("file_id", "hash", "time_offset").dropna().groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
-    return landmarks.match_groups(stage.put(landmarks.matches(best, sizes, "Subset")), stage)
+    return landmarks.match_groups(stage.put(landmarks.matches(best, sizes, "Similar")), stage)
 
 
 @query("index_without_files", "select hash, file_id, time_offset from fingerprints where file_id is null or file_id not in (select rowid from justinmetadata where channels = 1)")

@@ -256,6 +256,21 @@ def test_ranges_and_order(spark):
     assert ids(views.all_or_none(d, some)) == [] and ids(views.all_or_none(d, some.limit(0))) == [1, 2, 3, 4]
 
 
+def test_rows_without_a_key_and_hot_keys(spark):
+    """A third of the rows under one key, and many under none, stay as a plain model has them."""
+    rows = [{"rowid": i, "filename": "hot.wav" if i % 3 == 0 else None if i % 3 == 1 else f"n{i // 6}.wav", "filepath": f"/x/{i}.wav"} for i in range(300)]
+    prefs = Preferences(match_criteria=("filename",))
+    out = dedupe.mark_duplicates(catalog_rows.working_rows(cat(spark, rows), prefs, Enabled(basic=True)), prefs, Enabled(basic=True))
+    got = {r["id"]: r["flags"] for r in out.select("id", "flags").collect()}
+    keep, basic = model.BIT["Keep"], model.BIT["Basic"]
+    seen: dict = {}
+    for r in rows:
+        seen.setdefault(r["filename"], []).append(r["rowid"])
+    for name, ids in seen.items():
+        for k, i in enumerate(ids):
+            assert got[i] == (keep if name is None or len(ids) == 1 else basic | keep if k == 0 else basic), (name, i)
+
+
 def test_landmarks(spark):
     x = spark.createDataFrame([(1, 10, 0), (1, 11, 5), (2, 10, 7), (2, 11, 12), (2, 10, 9), (3, None, 1), (None, 10, 1), (1, 10, 0)], "file_id bigint, hash bigint, time_offset bigint")
     best = landmarks.best_alignments(x, x)
@@ -298,7 +313,7 @@ def test_queries_match_their_sql(spark):
     for f in os.listdir(SF):
         con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
     queries, sql = e.queries(), e.oracle_sql()
-    for name in ("path_parts", "roots", "rank_values", "dedupe_basic", "dedupe_names_and_tags", "compare_mark", "similar_pairs", "landmark_match", "search_pipeline"):
+    for name in ("path_parts", "roots", "rank_values", "dedupe_basic", "dedupe_names_and_tags", "compare_mark", "similar_links", "similar_clusters", "landmark_matches", "pending_analysis", "dual_mono", "ixml_tags", "version_order", "selection_range", "filter_waveform", "landmark_match", "search_pipeline"):
         df, r = queries[name](spark, SF), con.execute(sql[name])
         names = [c[0] for c in r.description]
         assert sorted(map(repr, (tuple(x[n] for n in names) for x in df.collect()))) == sorted(map(repr, r.fetchall())), name
