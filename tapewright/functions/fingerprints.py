@@ -13,9 +13,6 @@ from pyspark.sql import types as T
 
 from tapewright.functions.bind import bind
 
-#: Strict standard base64: padded, and with the unused bits of the last character zero.
-BASE64 = r"\A(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/][AQgw]==|[A-Za-z0-9+/]{2}[AEIMQUYcgkosw048]=)?\z"
-
 # Factors and limits of subset matching.
 SUBSET_FACTORS = ((30, 0.75), (60, 0.8))
 SUBSET_FACTOR_LONG, SURE = 0.85, 0.9
@@ -26,9 +23,16 @@ LCS_CELLS, LCS_SHARE = 1_000_000, 0.8
 ROWS, DEPTH, CHECKED, FLOATS = 1024, 128, 1 << 15, 1 << 23
 
 
+def is_base64(c: Column) -> Column:
+    """Strict standard base64: padded, and with the unused bits of the last character zero. One pass over the text, of any length."""
+    padded = F.substring(c, -3, 3)
+    rest = ~c.endswith("=") | padded.rlike(r"\A(?:[AQgw]==|[A-Za-z0-9+/][AEIMQUYcgkosw048]=)\z")
+    return (F.length(c) % 4 == 0) & rest & c.rlike(r"\A[A-Za-z0-9+/]*+={0,2}\z")
+
+
 def word_bytes(c: Column) -> Column:
     """The bytes of the words of strict base64, to be read by ``words_of``; null as in ``with_words``."""
-    return F.unbase64(F.when(c.rlike(BASE64), c))
+    return F.unbase64(F.when(is_base64(c), c))
 
 
 def is_fingerprint(c: Column) -> Column:
@@ -40,7 +44,7 @@ def with_words(df: DataFrame, fingerprint: str, name: str) -> DataFrame:
     """Adds ``name``: array of unsigned 32-bit little-endian words as bigint; left-over bytes are dropped. Null for null,
     ``PCM:``, FAILED and anything that is no strict base64; the empty text has no words."""
     c, h = F.col(fingerprint), F.col("_h")
-    d = bind(df, _h=F.hex(F.unbase64(F.when(c.rlike(BASE64), c))))
+    d = bind(df, _h=F.hex(F.unbase64(F.when(is_base64(c), c))))
     byte = lambda i, k: F.substring(h, i * 8 + 2 * k + 1, F.lit(2))
     word = lambda i: F.conv(F.concat(*(byte(i, k) for k in (3, 2, 1, 0))), 16, 10).cast("bigint")
     n = (F.length(h) / 8).cast("int")

@@ -1,9 +1,12 @@
 """Matches of fingerprints against all pairs, with flipped bits up to the threshold."""
 
 import base64
+import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tapewright.functions import fingerprints as fp
 from tapewright.operators import match
@@ -86,3 +89,13 @@ def test_similar_classes(spark):
     words = [base, base.copy(), flipped(rng, base, 0.1), random_words(rng, 20), base.copy()]
     got = {r["id"]: (r["class"], r["similar_classes"]) for r in match.similar_links(catalog(spark, words), 0.8).collect()}
     assert got == {0: (0, 1), 1: (0, 1), 2: (2, 1), 3: (3, 0), 4: (0, 1)}
+
+
+def test_strict_base64(spark):
+    plain = re.compile(r"\A(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/][AQgw]==|[A-Za-z0-9+/]{2}[AEIMQUYcgkosw048]=)?\Z")
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("AQgwE5+/=b=") for _ in range(rng.randrange(10))) for _ in range(3000)] + ["AAAA\n", "", "A===", "====", "QR==", "QQ==", "AAB=", "AAE=", "AAAA=", "é" * 4]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fp.is_base64(F.col("t")).alias("ok"))
+    assert all(r["ok"] == bool(plain.match(r["t"])) for r in d.collect())
+    long = spark.createDataFrame([("A" * 4_000_000,), ("A" * 3_999_999 + "?",)], "t string")
+    assert [r[0] for r in long.select(fp.is_base64(F.col("t"))).collect()] == [True, False]
