@@ -99,13 +99,13 @@ def np_features(w: np.ndarray) -> np.ndarray:
     return np.concatenate((out, (w[:-3] & 0xFF) | ((w[3:] & 0xFF) << 8))) if len(w) >= 4 else out
 
 
-def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
-    """Longest common subsequence, bit-parallel over the longer sequence; beyond ``LCS_CELLS`` the share of the longer
-    sequence's items that occur in the shorter one, times ``LCS_SHARE``."""
+def lcs_length(a: np.ndarray, b: np.ndarray, exact: bool = False) -> int:
+    """Longest common subsequence, bit-parallel over the longer sequence; beyond ``LCS_CELLS``, unless ``exact``, the number of
+    the longer sequence's items that occur in the shorter one, times ``LCS_SHARE``, as the subset rule has it."""
     if not len(a) or not len(b):
         return 0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    if len(a) * len(b) > LCS_CELLS:
+    if len(a) * len(b) > LCS_CELLS and not exact:
         return int(np.isin(long, short).sum() * LCS_SHARE)
     at: dict[int, int] = {}
     for i, x in enumerate(short.tolist()):

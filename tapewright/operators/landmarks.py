@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.operators.match import clusters
@@ -18,12 +18,12 @@ def landmark_hash(f1: Column, f2: Column, seconds: Column) -> Column:
 
 
 def pair_peaks(peaks: DataFrame, most: int = 5, within: float = 0.5) -> DataFrame:
-    """file_id, hash, time_offset: each peak (file_id, t, f) with its next ``most`` peaks not later than ``within`` seconds."""
-    by = F.array_sort(F.collect_list(F.struct("t", "f")))
-    g = peaks.groupBy("file_id").agg(by.alias("p"))
-    pairs = F.flatten(F.transform("p", lambda a, i: F.transform(F.filter(F.slice("p", i + 2, F.lit(most)), lambda b: b["t"] - a["t"] <= within), lambda b: F.struct(a["t"].alias("t"), a["f"].alias("f1"), b["f"].alias("f2"), (b["t"] - a["t"]).alias("d")))))
-    d = g.select("file_id", F.explode(pairs).alias("x"))
-    return d.select("file_id", landmark_hash(F.col("x.f1"), F.col("x.f2"), F.col("x.d")).alias("hash"), F.col("x.t").alias("time_offset"))
+    """file_id, hash, time_offset: each peak (file_id, t, f) with its next ``most`` peaks not later than ``within`` seconds. A
+    file's peaks pass by in order; they are never gathered."""
+    order = Window.partitionBy("file_id").orderBy("t", "f")
+    later = F.array_compact(F.array(*(F.lead(F.struct("t", "f"), k).over(order) for k in range(1, most + 1))))
+    d = peaks.select("file_id", "t", "f", later.alias("later")).withColumn("x", F.explode("later")).filter(F.col("x.t") - F.col("t") <= within)
+    return d.select("file_id", landmark_hash(F.col("f"), F.col("x.f"), F.col("x.t") - F.col("t")).alias("hash"), F.col("t").alias("time_offset"))
 
 
 def add_files(index: DataFrame, new: DataFrame) -> DataFrame:

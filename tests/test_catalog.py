@@ -279,7 +279,7 @@ def test_landmarks(spark):
     assert landmarks.matches(best, sizes, "Exact").count() == 2 and landmarks.matches(best, sizes, "Subset").count() == 2
     assert landmarks.remove_files(x, x.filter("file_id = 1")).filter("file_id is not null").count() == 4 and landmarks.add_files(x, x.filter("file_id = 2")).count() == x.count()
     peaks = spark.createDataFrame([(1, 0.0, 5), (1, 0.2, 6), (1, 0.9, 7)], "file_id bigint, t double, f bigint")
-    assert landmarks.pair_peaks(peaks).count() == 1
+    assert landmarks.pair_peaks(peaks).count() == 1 and landmarks.pair_peaks(peaks, within=1.0).count() == 3 and landmarks.pair_peaks(peaks, 1, 1.0).count() == 2
 
 
 def test_edits(spark):

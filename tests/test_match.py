@@ -99,3 +99,10 @@ def test_strict_base64(spark):
     assert all(r["ok"] == bool(plain.match(r["t"])) for r in d.collect())
     long = spark.createDataFrame([("A" * 4_000_000,), ("A" * 3_999_999 + "?",)], "t string")
     assert [r[0] for r in long.select(fp.is_base64(F.col("t"))).collect()] == [True, False]
+
+
+def test_common_subsequence_at_its_limit(monkeypatch):
+    a, b = np.array([1, 2, 3, 4, 5], np.uint32), np.array([5, 1, 2, 9, 4, 1], np.uint32)
+    assert fp.lcs_length(a, b) == 3
+    monkeypatch.setattr(fp, "LCS_CELLS", 29)
+    assert fp.lcs_length(a, b) == int(5 * 0.8) and fp.lcs_length(a, b, exact=True) == 3
