@@ -208,12 +208,6 @@ def rule_seconds(spark, d):
     return catalog(spark, d).select(F.col("rowid").alias("id"), F.round(split_seconds(F.col("duration")), 6).alias("seconds"))
 
 
-@query("flag_order", _rows(PLAIN, Enabled(duration=True, min_dur=2.0)) + f" select {SHOWN} as algorithm, count(*) as n from r0 group by 1")
-def flag_order(spark, d):
-    r = _rows_of(spark, d, PLAIN, Enabled(duration=True, min_dur=2.0))
-    return r.select(shown_text(F.col("flags")).alias("algorithm")).groupBy("algorithm").agg(F.count(F.lit(1)).alias("n"))
-
-
 # row rules
 
 for _name, _prefs, _enabled in (
@@ -633,6 +627,12 @@ def filter_relevant_of_none(spark, d):
     return _flags(views.filtered(_rows_of(spark, d), "Relevant"))
 
 
+@query("flag_order", _BASE_SQL + f" select {SHOWN} as algorithm, count(*) as n from r1 group by 1")
+def flag_order(spark, d):
+    """How often each set of flags occurs, its names in the order of results."""
+    return _base(spark, d).select(shown_text(F.col("flags")).alias("algorithm")).groupBy("algorithm").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("filter_equal", "select rowid, filename from justinmetadata where channels = 6")
 def filter_equal(spark, d):
     return views.where_equal(catalog(spark, d), "channels", 6).select("rowid", "filename")
