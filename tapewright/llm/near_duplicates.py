@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapewright.functions.bind import bind
 from tapewright.functions.durations import readable_seconds
+from tapewright.functions.fingerprints import is_base64
 from tapewright.operators.stage import Stage
 
-#: Strictly valid, padded standard base64 with the unused bits of the last character zero.
-BASE64 = r"\A(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/][AQgw]==|[A-Za-z0-9+/]{2}[AEIMQUYcgkosw048]=)?\z"
 #: 32 bands of 4 rows miss a pair of similarity 0.7 with a chance of (1 - 0.7^4)^32 = 1.5e-4, one of 0.8 with 4e-8.
 BANDS, ROWS = 32, 4
 #: Buckets of more contents than this are refined by rare words before pairs are made.
@@ -150,8 +150,8 @@ def near_duplicate_classes(df: DataFrame, stage: Stage, key: str = "rowid", fing
     """(members, links), both stored: members has id, s (seconds), cell (class of durations) and cid, the smallest id with the
     same words, for every row with a readable duration and words; links has a < b for all cids whose words have at least
     ``tenths``/10 in common. Copies are never paired here, so this is the form that any number of copies allows."""
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(fingerprint).alias("fp"), readable_seconds(F.col(duration)).alias("s"))
-    rows = rows.filter(F.col("s").isNotNull() & F.col("fp").rlike(BASE64))
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(fingerprint).alias("fp"), F.col(duration).alias("d"))
+    rows = bind(rows.filter(is_base64(F.col("fp"))), s=readable_seconds(F.col("d"))).filter(F.col("s").isNotNull())
     rows = rows.select("id", "s", sorted_words("fp").alias("w")).filter(F.col("w").isNotNull())
     width = -math.log(1 - 1 / longer_by) * 1.001
     rows = rows.select("id", "s", "w", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit("second"), "w").alias("k2"), F.floor(F.log(F.col("s").cast("double")) / width).alias("cell"))

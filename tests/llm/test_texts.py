@@ -142,6 +142,18 @@ def test_mix(spark):
     assert mixing.mix(d, lacking).collect() == [] and mixing.mix(d.limit(0), targets).collect() == []
 
 
+@pytest.mark.parametrize(("run", "slots"), [(3, 2), (7, 10**6)])
+def test_mix_in_runs(spark, monkeypatch, run, slots):
+    """The schedule's shares hold however sources are cut into runs and slots into chunks; chunks change nothing at all."""
+    d = docs(spark, 150).filter("doc_id < 900")
+    targets = spark.createDataFrame([("s0", 0.3, 3), ("s1", 0.3, 3), ("s3", 0.4, 1)], "source string, target_share double, max_repeats int")
+    want = {tuple(r) for r in mixing.mix(d, targets, block=256).collect()}
+    monkeypatch.setattr(mixing, "SLOTS", slots)
+    assert {tuple(r) for r in mixing.mix(d, targets, block=256).collect()} == want
+    monkeypatch.setattr(mixing, "RUN", run)
+    assert {tuple(r) for r in mixing.mix(d, targets, block=256).collect()} == want
+
+
 BODY = "The {0} of the sample was measured for $x_{{{1}}}$ and {1} runs. It was shown that every {0} follows a law, i.e. one that we discuss below. "
 
 
