@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.bind import bind
 from tapewright.functions.durations import split_seconds
-from tapewright.functions.fingerprints import all_similar, all_subsets, is_fingerprint, is_subset, word_bytes, words_of
+from tapewright.functions.fingerprints import all_similar, all_subsets, is_fingerprint, word_bytes, words_of
 from tapewright.operators.dedupe import mark_groups, preservation_keys
 from tapewright.operators.model import BIT, Preferences, add, drop
 from tapewright.operators.stage import Stage
@@ -167,14 +167,18 @@ def subset_families(rows: DataFrame, threshold: float, stage: Stage) -> DataFram
             batch.append((r["id"], words_of(bytes(r["w"])), r["o"]))
         if not batch:
             return found
-        parents: list[tuple[int, np.ndarray]] = []
-        settled = []
-        for i, w, _ in batch:
-            first = next((p for p, v in parents if is_subset(w, v, least)), None)
-            if first is None:
-                parents.append((i, w))
-            else:
-                settled.append((i, first))
+        words, place_ = [w for _, w, _ in batch], np.arange(len(batch))
+        within: dict[int, list[int]] = {}
+        for i, j in all_subsets(words, words, place_, place_, least):
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                within.setdefault(x, []).append(y)
+        first: dict[int, int] = {}  # of each child in the batch its parent, by place
+        for i in range(len(batch)):
+            own = [j for j in within.get(i, ()) if j not in first]
+            if own:
+                first[i] = min(own)
+        settled = [(batch[i][0], batch[j][0]) for i, j in first.items()]
+        parents = [(x, w) for i, (x, w, _) in enumerate(batch) if i not in first]
         last = batch[-1][2]
         behind = left.filter(F.col("o") > F.struct(F.lit(last["s"]).alias("s"), F.lit(last["c"]).alias("c"), F.lit(last["i"]).alias("i")))
         tested = stage.put(behind.withColumn("parent", _first_parent(parents, least)("w")))
