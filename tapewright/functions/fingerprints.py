@@ -22,6 +22,10 @@ LCS_CELLS, LCS_SHARE = 1_000_000, 0.8
 # Sizes of the matrices in which all pairs are compared; they bound memory and decide no result.
 ROWS, DEPTH, CHECKED, FLOATS = 1024, 128, 1 << 15, 1 << 23
 
+# Bits of the first test of pairs whose pieces are alike; pairs in a tile, of so many on one side; tiles with more left than a pair
+# in so many are tested as a whole. They decide no result.
+WINDOW, TILE, SIDE, DENSE = 60, 1 << 15, 4096, 32
+
 
 def is_base64(c: Column) -> Column:
     """Strict standard base64: padded, and with the unused bits of the last character zero. One pass over the text, of any length."""
@@ -235,6 +239,172 @@ def all_similar(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: floa
                     yield ra[i[ok]], rb[j[ok]], s[ok]
 
 
+def most_bits(threshold: float, longest: int) -> np.ndarray:
+    """How many bits may differ in a pair that has 0, 1, ... ``longest`` words in common; the largest number whose similarity
+    reaches ``threshold`` as it is computed."""
+    n = 32 * np.arange(1, longest + 1)
+    d = np.minimum(np.floor((1 - threshold) * n).astype(np.int64) + 1, n)
+    for _ in range(2):
+        d -= (n - d) / n < threshold
+    return np.concatenate(([0], d))
+
+
+def piece_limits(threshold: float, longest: int, piece: int, skipped: int, least: int) -> np.ndarray:
+    """Running totals of a limit for each piece of ``piece`` bits from word ``skipped`` on. In a pair of ``least`` or more common words, the
+    first ``skipped`` of them equal, that reaches ``threshold`` the whole pieces differ in fewer bits than their limits add up to."""
+    most = most_bits(threshold, longest)
+    whole = 32 * np.maximum(0, np.arange(longest + 1) - skipped) // piece
+    each = np.diff(np.floor(((1 - threshold) * piece + 1e-9) * np.arange(max(int(whole[-1]), 1) + 1))).astype(np.int64)
+    each[0] = 0  # no pair is found by the first piece, as no other is there to test it by
+    for n in range(max(least, skipped + 1), longest + 1):
+        while each[: whole[n]].sum() <= most[n]:
+            at = np.arange(min(1, whole[n] - 1), whole[n])
+            each[at[np.argmin(each[at] + 0.5 * (at * piece < WINDOW))]] += 1
+    return np.concatenate(([0], np.cumsum(each)))
+
+
+def _piece(flat: np.ndarray, at: np.ndarray, start: int, bits: int) -> np.ndarray:
+    """``bits`` bits (64 less 4 at most) from bit ``start`` of the rows that begin ``at``; ``flat`` has two words behind them."""
+    q, by = start >> 5, start & 31
+    x = flat[at + q].astype(np.uint64) | flat[at + (q + 1)].astype(np.uint64) << np.uint64(32)
+    if by:
+        x = x >> np.uint64(by) | flat[at + (q + 2)].astype(np.uint64) << np.uint64(64 - by)
+    return x & np.uint64((1 << bits) - 1)
+
+
+def similar_by_piece(flat: np.ndarray, begin: np.ndarray, n: np.ndarray, kind: np.ndarray, threshold: float, limits: np.ndarray, c: int, piece: int, skipped: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Indexes and similarity of the pairs that reach ``threshold``, are not of one kind (negative: of none), and are found by
+    piece ``c``; over all pieces, that is each such pair once, given what ``piece_limits`` presumes. Row k has the ``n[k]`` words of ``flat``
+    from ``begin[k]`` on; three words follow the last.
+
+    Let S be the running total of differing bits minus limits. It is 0 before the first piece and below 0 after the last one
+    of such a pair; the pair is found by the piece after which S is least for the first time. So that piece, and it with
+    those before it, differ in fewer bits than their limits, and the next piece, if both have one, does not.
+    """
+    whole = 32 * np.maximum(0, n - skipped) // piece
+    rows = np.flatnonzero(whole > c)
+    radius = int(limits[c + 1] - limits[c]) - 1
+    if radius < 0 or len(rows) < 2:
+        return
+    first = max(0, c + 1 - WINDOW // piece)
+    width = piece * (c + 1 - first)
+    near = int(limits[c + 1] - limits[first]) - 1
+    most = most_bits(threshold, int(n.max())).astype(np.uint16 if n.max() < 2000 else np.int64)
+    window = _piece(flat, begin[rows] + skipped, piece * first, width)
+    nxt = (1 << piece) + np.arange(len(rows), dtype=np.uint64)
+    if limits[min(c + 2, len(limits) - 1)] > limits[c + 1]:
+        more = np.flatnonzero(whole[rows] > c + 1)
+        nxt[more] = _piece(flat, begin[rows[more]] + skipped, piece * (c + 1), piece)
+    alike = kind[rows] >= 0
+    nxt[alike] = (1 << 39) + kind[rows[alike]].astype(np.uint64)
+    both = (window >> np.uint64(width - piece)) << np.uint64(40) | nxt
+    order = np.argsort(both, kind="stable")
+    rows, window, both = rows[order], window[order], both[order]
+    after = np.flatnonzero(np.concatenate((both[1:] != both[:-1], [True]))) + 1
+    group_end = np.repeat(after, np.diff(np.concatenate(([0], after))))  # rows of a group are of one kind or have the next piece in common, too
+    starts = np.concatenate(([0], np.cumsum(np.bincount((both >> np.uint64(40)).astype(np.int64), minlength=1 << piece))))
+    masks = np.arange(1, 1 << piece)
+    masks = masks[np.bitwise_count(masks) <= radius]
+    begin, size, kind, allowed = begin[rows], n[rows], kind[rows], most[n[rows]]
+    word = skipped + (piece * (c + 1) >> 5)
+
+    def columns(k: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+        """The two words from ``p`` on of the rows ``k``, and which bits of them a row has."""
+        has = np.clip(size[k] - p, 0, 2)
+        at = np.minimum(begin[k] + p, len(flat) - 2)
+        mask = np.array([0, 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF], np.uint64)[has]
+        return (flat[at].astype(np.uint64) | flat[at + 1].astype(np.uint64) << np.uint64(32)) & mask, mask
+
+    def check(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for at in range(0, len(i), CHECKED):
+            a, b = i[at : at + CHECKED], j[at : at + CHECKED]
+            other = (kind[a] != kind[b]) | (kind[a] < 0)
+            a, b = a[other], b[other]
+            if not len(a):
+                continue
+            common = np.minimum(size[a], size[b])
+            d = np.zeros(len(a), np.int64)
+            for p in range(0, int(common.max()), DEPTH // 4):
+                k = np.flatnonzero((common > p) & (d <= allowed[a].astype(np.int64)))
+                w = p + np.arange(min(DEPTH // 4, int(common.max()) - p))
+                x = flat[np.minimum(begin[a[k], None] + w, len(flat) - 1)] ^ flat[np.minimum(begin[b[k], None] + w, len(flat) - 1)]
+                d[k] += np.where(w < common[k, None], np.bitwise_count(x), 0).sum(1, dtype=np.int64)
+            s = (32 * common - d) / (32 * common)
+            ok = np.flatnonzero(s >= threshold)
+            for at_ in range(0, len(ok), ROWS):
+                k = ok[at_ : at_ + ROWS]
+                pieces = 32 * (common[k] - skipped) // piece
+                w = skipped + np.arange(-(-piece * int(pieces.max()) // 32))
+                x = flat[np.minimum(begin[a[k], None] + w, len(flat) - 1)] ^ flat[np.minimum(begin[b[k], None] + w, len(flat) - 1)]
+                bits = np.unpackbits(np.ascontiguousarray(x).astype("<u4").view(np.uint8), axis=1, bitorder="little")[:, : piece * int(pieces.max())]
+                total = np.cumsum(bits.reshape(len(k), -1, piece).sum(2, dtype=np.int64), axis=1) - limits[1 : int(pieces.max()) + 1]
+                total[np.arange(total.shape[1]) >= pieces[:, None]] = np.iinfo(np.int64).max
+                k = k[np.argmin(total, axis=1) == c]
+                if len(k):
+                    yield rows[a[k]], rows[b[k]], s[k]
+
+    bits, count, okay = np.empty(TILE, np.uint64), np.empty(TILE, np.uint8), np.empty(TILE, bool)
+    kept, waiting = [], 0
+    for key in np.flatnonzero(np.diff(starts)).tolist():
+        low, high = int(starts[key]), int(starts[key + 1])
+        others = key ^ masks
+        others = others[others > key]
+        m = starts[others + 1] - starts[others]
+        to = np.cumsum(m)
+        there = np.repeat(starts[others] - to + m, m) + np.arange(to[-1] if len(to) else 0)
+        there = np.concatenate((np.arange(low, high), there))
+        theirs = window[there]
+        for j in range(0, len(there), SIDE):
+            tile, side = theirs[j : j + SIDE], there[j : j + SIDE]
+            pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            step = TILE // len(tile)
+            last = high if side[-1] >= high else int(np.searchsorted(group_end[low:high], side[-1], "right")) + low
+            for i in range(low, last, step):
+                e = min(i + step, last)
+                # rows of the same key come first and in order: those of the first row's group are passed over
+                skip = min(max(0, int(group_end[i]) - low - j), len(tile))
+                a, b = window[i:e], tile[skip:]
+                shape = len(a), len(b)
+                total = shape[0] * shape[1]
+                if not total:
+                    continue
+                x, y, ok = (z[:total].reshape(shape) for z in (bits, count, okay))
+                np.bitwise_xor(a[:, None], b, out=x)
+                np.bitwise_count(x, out=y)
+                np.less_equal(y, near, out=ok)
+                left = np.count_nonzero(ok)
+                if left * DENSE > total:
+                    ok &= (kind[i:e, None] != kind[side[skip:]]) | (kind[i:e, None] < 0)
+                    left = np.count_nonzero(ok)
+                if left * DENSE > total:
+                    d = np.zeros(shape, most.dtype)
+                    limit = np.minimum(allowed[i:e, None], allowed[side[skip:]])
+                    mine = np.arange(i, e)
+                    for p in range(word, int(size[i:e].max()), 2):
+                        if p not in pairs:
+                            pairs[p] = columns(side, p)
+                        (u, um), (v, vm) = columns(mine, p), pairs[p]
+                        np.bitwise_xor(u[:, None], v[skip:], out=x)
+                        x &= um[:, None]
+                        x &= vm[skip:]
+                        d += np.bitwise_count(x)
+                        ok &= d <= limit
+                        left = np.count_nonzero(ok)
+                        if left * DENSE <= total:
+                            break
+                if left:
+                    f, g = np.divmod(np.flatnonzero(ok.ravel()), shape[1])
+                    f, g = f + i, side[g + skip]
+                    fits = g >= group_end[f]
+                    kept.append((f[fits], g[fits]))
+                    waiting += len(kept[-1][0])
+            if waiting >= CHECKED:
+                yield from check(*(np.concatenate(z) for z in zip(*kept, strict=True)))
+                kept, waiting = [], 0
+    if waiting:
+        yield from check(*(np.concatenate(z) for z in zip(*kept, strict=True)))
+
+
 def all_subsets(shorts: list[np.ndarray], longs: list[np.ndarray], after: np.ndarray, before: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indexes in ``shorts`` and ``longs`` of all pairs that ``is_subset`` accepts, of those with a greater number in ``after``
     than in ``before``.

@@ -48,6 +48,31 @@ def test_similar_pairs_are_all_pairs(spark, monkeypatch, group, threshold):
     assert {(r["a"], r["b"]): r["similarity"] for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("long_pieces", [0, 1 << 30])
+@pytest.mark.parametrize("threshold", [0.75, 0.8, 0.95])
+def test_similar_pairs_by_pieces_are_all_pairs(spark, monkeypatch, long_pieces, threshold):
+    for name, value in (("INDEXED", 9), ("LONG_PIECES", long_pieces), ("COMMON", 6)):
+        monkeypatch.setattr(match, name, value)
+    rng, words = np.random.default_rng(12), []
+    common = random_words(rng, 2)
+    for n in (1, 2, 3, 5, 9, 16, 17, 24, 33, 50):
+        base = random_words(rng, n)
+        for lead, k in ((0, 0), (0, 1), (0, 2), (1, 1), (0, min(n, 7))):
+            b = base.copy()
+            b[:k] = common[lead]
+            words += [b, b.copy(), *(flipped(rng, b, f) for f in (1 - threshold, 0.1, 0.02)), flipped(rng, b, 0.04)[: n // 2 + 1]]
+            b = np.concatenate((random_words(rng, n), b[-3:]))
+            b[:k] = common[lead]
+            words.append(b)
+            for at in (0, len(b) * 24):  # all that may differ, at one end
+                bits = np.unpackbits(b.view(np.uint8))
+                bits[at : at + int(32 * len(b) * (1 - threshold) + 1e-9)] ^= 1
+                words.append(np.packbits(bits).view(np.uint32))
+    want = {(i, j): s for j in range(len(words)) for i in range(j) if (s := likeness(words[i], words[j])) >= threshold}
+    got = match.similar_pairs(catalog(spark, words), threshold).collect()
+    assert {(r["a"], r["b"]): r["similarity"] for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("group", [4, 1024])
 def test_subset_pairs_are_all_pairs(spark, monkeypatch, group):
     monkeypatch.setattr(match, "GROUP", group)
