@@ -97,10 +97,11 @@ def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def np_features(w: np.ndarray) -> np.ndarray:
-    if len(w) < 2:
-        return np.empty(0, np.uint32)
-    out = ((w[:-1] & 0xFFFF) ^ (w[1:] >> 16)) & 0xFFFF
-    return np.concatenate((out, (w[:-3] & 0xFF) | ((w[3:] & 0xFF) << 8))) if len(w) >= 4 else out
+    """Of one array, or of each row of a matrix."""
+    if w.shape[-1] < 2:
+        return np.empty((*w.shape[:-1], 0), np.uint32)
+    out = ((w[..., :-1] & 0xFFFF) ^ (w[..., 1:] >> 16)) & 0xFFFF
+    return np.concatenate((out, (w[..., :-3] & 0xFF) | ((w[..., 3:] & 0xFF) << 8)), axis=-1) if w.shape[-1] >= 4 else out
 
 
 def lcs_length(a: np.ndarray, b: np.ndarray, exact: bool = False) -> int:
@@ -405,6 +406,31 @@ def similar_by_piece(flat: np.ndarray, begin: np.ndarray, n: np.ndarray, kind: n
         yield from check(*(np.concatenate(z) for z in zip(*kept, strict=True)))
 
 
+def _hits(items: tuple[np.ndarray, np.ndarray], own: np.ndarray, longs: int, start: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """A range of the rows of ``own`` at a time, and for each of them how many of the items (their values in order, and whose
+    they are) it has of each of the ``longs`` from number ``start`` on, repeats counted."""
+    values, owner = items
+    own = np.sort(own, axis=1)
+    new = np.ones(own.shape, bool)
+    new[:, 1:] = own[:, 1:] != own[:, :-1]
+    flat, ends = own[new], np.concatenate(([0], np.cumsum(new.sum(1))))
+    low = np.searchsorted(values, flat, "left")
+    each = np.searchsorted(values, flat, "right") - low
+    total = np.concatenate(([0], np.cumsum(each)))
+    i = 0
+    while i < len(own):
+        j = i + 1
+        while j < len(own) and max((j + 1 - i) * (longs - start), total[ends[j + 1]] - total[ends[i]]) <= FLOATS // 4:
+            j += 1
+        n = each[ends[i] : ends[j]]
+        at = np.arange(n.sum()) + np.repeat(low[ends[i] : ends[j]] - (total[ends[i] : ends[j]] - total[ends[i]]), n)
+        row = np.repeat(np.repeat(np.arange(j - i), np.diff(ends[i : j + 1])), n)
+        whose = owner[at] - start
+        there = whose >= 0
+        yield slice(i, j), np.bincount(row[there] * (longs - start) + whose[there], minlength=(j - i) * (longs - start)).reshape(j - i, -1)
+        i = j
+
+
 def all_subsets(shorts: list[np.ndarray], longs: list[np.ndarray], after: np.ndarray, before: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indexes in ``shorts`` and ``longs`` of all pairs that ``is_subset`` accepts, of those with a greater number in ``after``
     than in ``before``.
@@ -412,64 +438,113 @@ def all_subsets(shorts: list[np.ndarray], longs: list[np.ndarray], after: np.nda
     Windows of the same size are counted by matrix products. The other sizes can only reach the threshold if enough
     features of the longer array occur in the shorter one at all; those pairs are given to ``is_subset``.
     """
-    order = np.array(sorted(range(len(longs)), key=lambda j: len(longs[j])), np.int64)
-    m = np.array([len(longs[j]) for j in order], np.int64)
-    theirs = [longs[j] for j in order]
-    pieces = {}
-    for name, of in (("features", np_features), ("patterns", lambda w: w[:-1] & w[1:])):
-        parts = [np.asarray(of(w), np.uint32) for w in theirs]
-        ends = np.cumsum([0, *map(len, parts)])
-        pieces[name] = (np.concatenate(parts) if parts else np.empty(0, np.uint32)), ends
-
-    def hits(name: str, own: np.ndarray, start: int) -> np.ndarray:
-        """Items of each longer array, from number ``start`` on, that occur in ``own``."""
-        items, ends = pieces[name]
-        there = np.cumsum(np.concatenate(([0], own[items[ends[start] :]] if name == "features" else np.isin(items[ends[start] :], own))), dtype=np.int64)
-        at = ends[start:] - ends[start]
-        return there[at[1:]] - there[at[:-1]]
-
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(shorts):
         by_length.setdefault(len(w), []).append(i)
-    for n, group in by_length.items():
+    order = np.array(sorted(range(len(longs)), key=lambda j: len(longs[j])), np.int64)
+    total = np.cumsum([len(longs[j]) for j in order])
+    at = 0
+    while at < len(order):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + FLOATS // 32, "right")))
+        yield from _subsets(shorts, by_length, [longs[j] for j in order[at:to]], order[at:to], after, before, threshold)
+        at = to
+
+
+def _subsets(shorts: list[np.ndarray], by_length: dict[int, list[int]], theirs: list[np.ndarray], order: np.ndarray, after: np.ndarray, before: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``all_subsets`` of those of the longer arrays that ``order`` names, the shortest first."""
+    m = np.array([len(w) for w in theirs], np.int64)
+    signs = _signs(np.concatenate(theirs)[:, None])
+    items = {}
+    for name, of in (("features", np_features), ("patterns", lambda w: w[:-1] & w[1:])):
+        parts = [np.asarray(of(w), np.uint32) for w in theirs]
+        values, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        sort = np.argsort(values, kind="stable")
+        items[name] = values[sort], owner[sort]
+    for n, whole in by_length.items():
         start = int(np.searchsorted(m, n))
-        if n == 0 or start == len(m):
+        if n < 2 or start == len(m):
             continue
         least = threshold * next((f for below, f in SUBSET_FACTORS if n < below), SUBSET_FACTOR_LONG)
-        stands = after[group][:, None] > before[order[start:]][None, :]
-        if n < 15:
-            for i, ok in zip(group, stands, strict=True):
-                p = shorts[i][:-1] & shorts[i][1:]
-                js = np.flatnonzero(ok & (hits("patterns", p, start) / len(p) >= least)) if len(p) else ()
-                if len(js):
-                    yield np.full(len(js), i), order[start + js]
-            continue
-        own = _signs(np.stack([shorts[i] for i in group])).reshape(len(group), -1)
-        accepted = np.zeros(stands.shape, bool)
-        at = start
-        while at < len(m):
-            begins, firsts, texts, size, count, to = [], [], [], 0, 0, at
-            while to < len(m) and (to == at or (size + m[to]) * 32 * n <= FLOATS):
-                step = max(1, int(m[to]) // (200 if m[to] > 1000 else 400))
-                firsts.append(count)
-                begins.append(size + np.arange(0, m[to] - n + 1, step))
-                count += len(begins[-1])
-                texts.append(theirs[to])
-                size, to = size + int(m[to]), to + 1
-            signs = _signs(np.concatenate(texts)[:, None])
-            windows = signs[np.concatenate(begins)[:, None] + np.arange(n)].reshape(-1, 32 * n)
-            best = (np.maximum.reduceat(own @ windows.T, firsts, axis=1).astype(np.float64) + 32 * n) / 2 / (32 * n)
-            accepted[:, at - start : to - start] = (best > SURE) | (best >= least)
-            at = to
-        room = min(2 * n - 4, 2 * int(n * min(WINDOWS)) - 4)
-        for i, ok, by_bits in zip(group, stands, accepted, strict=True):
-            table = np.zeros(1 << 16, bool)
-            table[np_features(shorts[i])] = True
-            for j in np.flatnonzero(ok & ~by_bits & (hits("features", table, start) >= least * room)):
-                by_bits[j] = is_subset(shorts[i], theirs[start + j], threshold)
-            js = np.flatnonzero(ok & by_bits)
-            if len(js):
-                yield np.full(len(js), i), order[start + js]
+        rows = max(1, min(ROWS, FLOATS // (32 * n), FLOATS // 4 // (len(m) - start)))
+        for cut in range(0, len(whole), rows):
+            group = whole[cut : cut + rows]
+            ok = after[group][:, None] > before[order[start:]][None, :]
+            if not ok.any():
+                continue
+            own = np.stack([shorts[i] for i in group])
+            if n < 15:
+                for part, count in _hits(items["patterns"], own[:, :-1] & own[:, 1:], len(m), start):
+                    ok[part] &= count / (n - 1) >= least
+            else:
+                by_bits = _best_bits(own, signs, m, start) / (32 * n)
+                by_bits = (by_bits > SURE) | (by_bits >= least)
+                room = min(2 * n - 4, 2 * int(n * min(WINDOWS)) - 4)
+                for part, count in _hits(items["features"], np_features(own), len(m), start):
+                    for k, j in zip(*np.nonzero(ok[part] & ~by_bits[part] & (count >= least * room)), strict=True):
+                        by_bits[part.start + k, j] = is_subset(shorts[group[part.start + k]], theirs[start + j], threshold)
+                ok &= by_bits
+            i, j = np.nonzero(ok)
+            if len(i):
+                yield np.array(group, np.int64)[i], order[start + j]
+
+
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each of ``begins`` on, as many as ``sizes`` says."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1]) + np.repeat(begins - (ends - sizes), sizes)
+
+
+def _best_bits(own: np.ndarray, signs: np.ndarray, m: np.ndarray, start: int) -> np.ndarray:
+    """Equal bits of each row of words with the window, of its size, of each longer array from number ``start`` on that has most of
+    them. ``signs`` are those of all longer arrays, ``m`` their sizes.
+
+    Two windows are counted by one product where single precision has room for both: the sum of equal less unequal bits is
+    whole and at most 32 n, so that of the second, ``by`` times as much, is told apart from the first. No sum exceeds 2**24.
+    """
+    n = own.shape[1]
+    by = np.float32(64 * (n + 1))
+    two = 32 * n * (64 * (n + 1) + 1) <= 1 << 24
+    mine = _signs(own).reshape(len(own), -1)
+    base = np.cumsum(m) - m
+    step = np.maximum(1, m // np.where(m > 1000, 200, 400))
+    windows = (m - n) // step + 1
+    half = (windows + 1) // 2 if two else windows
+    order = start + np.argsort(half[start:], kind="stable")
+    count = np.cumsum(half[order])
+    best = np.empty((len(own), len(m) - start), np.float64)
+    at = 0
+    while at < len(order):
+        to = max(at + 1, int(np.searchsorted(count, (count[at - 1] if at else 0) + FLOATS // 4 // (32 * n), "right")))
+        js = order[at:to]
+        h, by_step = half[js], step[js]
+        reach = (h - 1) * by_step + n  # words that the first half of the windows has
+        words = _ranges(base[js], reach)
+        text = signs[words]
+        if two:
+            text += by * signs[words + np.repeat((windows[js] - h) * by_step, reach)]
+        # the first windows of all arrays, then the second ones of those that have more, ...
+        more = np.searchsorted(h, np.arange(h[-1]), "right")
+        first = np.cumsum(reach) - reach
+        begins = np.concatenate([first[x:] + k * by_step[x:] for k, x in enumerate(more)])
+        dot = mine @ text[begins[:, None] + np.arange(n)].reshape(-1, 32 * n).T
+
+        def top(dot: np.ndarray) -> np.ndarray:
+            out, column = dot[:, : len(js)].copy(), len(js)  # noqa: B023
+            for x in more[1:]:  # noqa: B023
+                np.maximum(out[:, x:], dot[:, column : column + len(js) - x], out=out[:, x:])  # noqa: B023
+                column += len(js) - x  # noqa: B023
+            return out
+
+        most = top(dot)
+        if two:
+            high = dot / by
+            np.rint(high, out=high)
+            high *= by
+            dot -= high
+            most = np.maximum(np.rint(most / by), top(dot))
+        best[:, js - start] = most
+        at = to
+    return (best + 32 * n) / 2
 
 
 @F.pandas_udf(T.DoubleType())

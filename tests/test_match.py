@@ -108,6 +108,46 @@ def test_subset_families_are_the_walk(spark, monkeypatch, batch):
     assert match.subset_families(catalog(spark, words).limit(0), 80, Stage(spark, "t")).collect() == []
 
 
+@pytest.mark.parametrize("group", [4, 1024])
+def test_subset_families_without_many_rounds(spark, monkeypatch, group):
+    """What no batch takes is settled at once; copies of a row follow it, and the work is not one round for each batch."""
+    monkeypatch.setattr(match, "GROUP", group)
+    monkeypatch.setattr(match, "BATCH", 2)
+    rng, words = np.random.default_rng(9), []
+    for n in (95, 70, 40, 33):
+        long = random_words(rng, n)
+        words += [long, flipped(rng, long[2:-2], 0.1), long[1:32], random_words(rng, n), long.copy(), long[1:32].copy(), long[3:12], long[:1]]
+    words += [random_words(rng, 60) for _ in range(30)]
+    order = lambda i: (-(len(words[i]) // 8), -(1 + i % 2), i)
+    want, parents = {}, []
+    for i in sorted(range(len(words)), key=order):
+        p = next((p for p in parents if fp.is_subset(words[i], words[p], 0.72)), None)
+        if p is None:
+            parents.append(i)
+        else:
+            want[i] = p
+    rounds = []
+    first_parent = match._first_parent
+    monkeypatch.setattr(match, "_first_parent", lambda *x: rounds.append(1) or first_parent(*x))
+    got = match.subset_families(catalog(spark, words), 80, Stage(spark, "t")).collect()
+    assert {r["child"]: r["parent"] for r in got} == want and len(got) == len(want) > 8
+    assert len(rounds) < 6
+
+
+def test_windows_are_counted_two_at_once():
+    """Where single precision has room for two sums and where it has not, and at extremes of both."""
+    rng = np.random.default_rng(10)
+    for n in (15, 16, 63, 64, 89, 90, 130):
+        longs = [random_words(rng, n + k) for k in (0, 1, 2, 7, 40, 790)] + [np.full(n + k, x, np.uint32) for k in (0, 1, 4) for x in (0, 0xFFFFFFFF)]
+        longs.sort(key=len)
+        own = np.stack([longs[-1][3 : 3 + n], random_words(rng, n), np.zeros(n, np.uint32), np.full(n, 0xFFFFFFFF, np.uint32)])
+        got = fp._best_bits(own, fp._signs(np.concatenate(longs)[:, None]), np.array([len(x) for x in longs]), 0)
+        for i, short in enumerate(own):
+            for j, long in enumerate(longs):
+                starts = range(0, len(long) - n + 1, max(1, len(long) // (200 if len(long) > 1000 else 400)))
+                assert got[i, j] == max(32 * n - int(np.bitwise_count(short ^ long[s : s + n]).sum()) for s in starts)
+
+
 def test_similar_classes(spark):
     rng = np.random.default_rng(5)
     base = random_words(rng, 20)
