@@ -87,6 +87,20 @@ def test_subset_pairs_are_all_pairs(spark, monkeypatch, group):
     assert all((r["po"]["s"], r["po"]["c"], r["po"]["i"]) < (r["co"]["s"], r["co"]["c"], r["co"]["i"]) for r in got)
 
 
+def test_subset_pairs_are_written_as_they_are_found(spark):
+    """Neither joined nor shuffled, as they are many; their places on demand only."""
+    rng, words = np.random.default_rng(11), []
+    for n in (20, 40, 64):
+        long = random_words(rng, n)
+        words += [long, long[2:18], long[:1], random_words(rng, 16)]
+    whole = match.subset_pairs(catalog(spark, words), 80, Stage(spark, "t"))
+    bare = match.subset_pairs(catalog(spark, words), 80, Stage(spark, "t"), places=False)
+    assert bare.columns == ["child", "parent"] and len(bare.collect()) > 3
+    assert sorted(bare.collect()) == sorted(whole.select("child", "parent").collect())
+    for pairs in (whole, bare):
+        assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("batch", [1, 3, 128])
 def test_subset_families_are_the_walk(spark, monkeypatch, batch):
     monkeypatch.setattr(match, "BATCH", batch)
