@@ -112,15 +112,25 @@ def lcs_length(a: np.ndarray, b: np.ndarray, exact: bool = False) -> int:
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if len(a) * len(b) > LCS_CELLS and not exact:
         return int(np.isin(long, short).sum() * LCS_SHARE)
+    return _common_length(_positions(short), len(short), long.tolist())
+
+
+def _positions(a: np.ndarray) -> dict[int, int]:
+    """Of each item the places in ``a`` that have it, as bits."""
     at: dict[int, int] = {}
-    for i, x in enumerate(short.tolist()):
+    for i, x in enumerate(a.tolist()):
         at[x] = at.get(x, 0) | 1 << i
-    full = (1 << len(short)) - 1
+    return at
+
+
+def _common_length(at: dict[int, int], n: int, items: list[int]) -> int:
+    """Longest common subsequence of ``items`` and the ``n`` items of which ``at`` has the places."""
+    full = (1 << n) - 1
     v = full
-    for y in long.tolist():
+    for y in items:
         u = v & at.get(y, 0)
         v = ((v + u) | (v - u)) & full
-    return len(short) - v.bit_count()
+    return n - v.bit_count()
 
 
 def flexible_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -138,8 +148,11 @@ def is_subset(short: np.ndarray, long: np.ndarray, threshold: float) -> bool:
         p = short[:-1] & short[1:]
         return bool(len(p)) and float(np.isin(long[:-1] & long[1:], p).sum()) / len(p) >= least
     step = max(1, m // (200 if m > 1000 else 400))
-    mine, theirs = np_features(short), np.isin(np_features(long), np_features(short)).astype(np.int64)
+    mine, whole = np_features(short), np_features(long)
+    theirs = np.isin(whole, mine)
     two, four = (np.concatenate(([0], np.cumsum(x))) for x in (theirs[: m - 1], theirs[m - 1 :]))
+    common = whole[theirs].tolist()  # all that a common subsequence can have, those of neighbours first
+    at: dict[int, int] = {}
     best = 0.0
     for size in dict.fromkeys(int(n * f) if f != 1 else n for f in WINDOWS):
         if size > m or not size:
@@ -147,16 +160,23 @@ def is_subset(short: np.ndarray, long: np.ndarray, threshold: float) -> bool:
         if size == n:
             windows = np.lib.stride_tricks.sliding_window_view(long, n)[::step]
             best = max(best, float(_bits(windows, short).sum(1, dtype=np.int64).max()) / (32 * n))
-            if best > SURE:
+            if best > SURE or best >= least:
                 return True
             continue
         starts = np.arange(0, m - size + 1, step)
         # items of a window that occur in ``short`` at all bound the common subsequence
-        most = two[starts + size - 1] - two[starts] + (four[starts + size - 3] - four[starts] if size >= 4 else 0)
-        room = min(len(mine), size - 1 + max(0, size - 3))
-        for start in starts[most >= least * room] if room else ():
-            best = max(best, lcs_length(mine, np_features(long[start : start + size])) / room)
-            if best > SURE:
+        (a, b), (c, d) = (two[starts], two[starts + size - 1]), (four[starts], four[starts + size - 3])
+        most = b - a + d - c
+        items = 2 * size - 4
+        room = min(len(mine), items)
+        for k in np.flatnonzero(most >= least * room) if room else ():
+            if len(mine) * items > LCS_CELLS:
+                length = lcs_length(mine, np_features(long[starts[k] : starts[k] + size]))
+            else:
+                at = at or _positions(mine)
+                length = _common_length(at, len(mine), common[a[k] : b[k]] + common[two[-1] + c[k] : two[-1] + d[k]])
+            best = max(best, length / room)
+            if best > SURE or best >= least:
                 return True
     return best >= least
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,34 @@ def test_windows_are_counted_two_at_once():
                 assert got[i, j] == max(32 * n - int(np.bitwise_count(short ^ long[s : s + n]).sum()) for s in starts)
 
 
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 20])
+def test_copies_are_compared_once(monkeypatch, pairs):
+    """All pairs of rows are listed, each once, however many have the same words."""
+    monkeypatch.setattr(match, "PAIRS", pairs)
+    rng, compared = np.random.default_rng(13), []
+    long, short = random_words(rng, 40), random_words(rng, 16)
+    kinds = [long, long[3:25], long[2:12], short, flipped(rng, long[5:35], 0.1)]
+    words = [kinds[k] for k in rng.integers(0, len(kinds), 60)]
+    after, before = rng.permutation(60), rng.permutation(60)
+    all_subsets = match.all_subsets
+    monkeypatch.setattr(match, "all_subsets", lambda x, y, *rest: compared.append((len(x), len(y))) or all_subsets(x, y, *rest))
+    w = pd.Series([x.tobytes() for x in words])
+    got = [(i, j) for a, b in match._of_kinds(w, w, after, before, 0.72) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    want = {(i, j) for i in range(60) for j in range(60) if after[i] > before[j] and fp.is_subset(words[i], words[j], 0.72)}
+    assert compared == [(5, 5)] and set(got) == want and len(got) == len(want) > 100
+
+
+def test_common_subsequences_of_common_items(monkeypatch):
+    """Only items that both have are looked at, and no more windows than one that is enough."""
+    rng, looked = np.random.default_rng(14), []
+    common_length = fp._common_length
+    monkeypatch.setattr(fp, "_common_length", lambda at, n, items: looked.append((at, items)) or common_length(at, n, items))
+    short = random_words(rng, 40)
+    long = np.concatenate([random_words(rng, 100), np.delete(short, [13, 26]), random_words(rng, 100)])
+    assert fp.is_subset(short, long, 0.9) and len(looked) == 1
+    assert all(y in at for at, items in looked for y in items)
+
+
 def test_similar_classes(spark):
     rng = np.random.default_rng(5)
     base = random_words(rng, 20)
