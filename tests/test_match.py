@@ -88,6 +88,21 @@ def test_subset_pairs_are_all_pairs(spark, monkeypatch, group):
     assert all((r["po"]["s"], r["po"]["c"], r["po"]["i"]) < (r["co"]["s"], r["co"]["c"], r["co"]["i"]) for r in got)
 
 
+def test_subset_pairs_copy_rows_by_tasks(spark, monkeypatch):
+    """The copies of a row that are shuffled grow with the tasks, not with the rows."""
+    monkeypatch.setattr(match, "GROUP", 1)
+    rng = np.random.default_rng(15)
+    long = random_words(rng, 40)
+    words = [long[k % 9 : k % 9 + 18] if k % 3 else random_words(rng, 20) for k in range(149)] + [long]
+    pairs = match.subset_pairs(catalog(spark, words), 80, Stage(spark, "t"), places=False)
+    order = lambda i: (-(len(words[i]) // 8), -(1 + i % 2), i)
+    want = {(i, j) for i in range(150) for j in range(150) if order(j) < order(i) and fp.is_subset(words[i], words[j], 0.72)}
+    got = pairs.collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    most = int(np.ceil(np.sqrt(4 * match._tasks(spark))))
+    assert pairs.rdd.getNumPartitions() == most * (most + 1) // 2
+
+
 def test_subset_pairs_are_written_as_they_are_found(spark):
     """Neither joined nor shuffled, as they are many; their places on demand only."""
     rng, words = np.random.default_rng(11), []
