@@ -108,3 +108,57 @@ def test_landmark_queries_in_cells(spark, monkeypatch):
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
     assert {r["file_id"]: r["group_id"] for r in group.collect()} == label
+
+
+def families(seed, short):
+    """Files of twelve families, each with hashes of its own and one that all share, of which some copy another's landmarks, shifted; ids are not in the
+    order of the families. With ``short``, two families also have files of a few landmarks; if it is 2, one of these has the common hash."""
+    r = np.random.default_rng(seed)
+    ids, rows = r.permutation(150).tolist(), []
+    for f in range(120):
+        family, n = f % 12, int(r.integers(8, 30))
+        own = [(ids[f], int(h) + 1000 * family, int(t)) for h, t in zip(r.integers(1, 400, n), r.integers(0, 50, n), strict=True)]
+        if f > 24 and f % 3:
+            own = [(ids[f], h, t + 7) for g, h, t in rows if g == ids[f - 12] and h][: int(r.integers(1, 9))] + own[:12]
+        for row in own:
+            rows += [row] * int(r.choice([1, 1, 1, 1, 1, 3]))
+        rows += [(ids[f], 0, 60 * f + int(t)) for t in r.integers(0, 50, int(r.integers(0, 3)))]
+    if short:
+        for f in range(120, 126):
+            rows += [(ids[f], int(h) + 1000 * (f % 2), 3) for h in r.integers(1, 400, 3)] + ([(ids[f], 0, 1)] if f == 120 and short > 1 else [])
+    return rows
+
+
+@pytest.mark.parametrize("short", [0, 1, 2])
+def test_groups_of_all_files(spark, monkeypatch, short):
+    monkeypatch.setattr(landmarks, "FEW", 1 << 8)
+    monkeypatch.setattr(landmarks, "BLOCK", 900)
+    rows = families(short, short)
+    x = spark.createDataFrame([*rows, (None, 1, 2), (3, None, 2), (3, 1, None)], "file_id bigint, hash bigint, time_offset bigint")
+    links = list(model(rows, rows, 4))
+    label = {f: f for k in links for f in k}
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r["file_id"]: r["group_id"] for r in landmarks.groups(x, Stage(spark, "groups")).collect()} == label
+    assert len(label) < len({f for f, _, _ in rows}) and len(set(label.values())) > (9 if short < 2 else 1)
+
+
+def test_no_groups(spark):
+    x = spark.createDataFrame([(f, f, 0) for f in range(9)], "file_id bigint, hash bigint, time_offset bigint")
+    assert landmarks.groups(x, Stage(spark, "groups")).isEmpty() and landmarks.groups(x.limit(0), Stage(spark, "groups")).isEmpty()
+
+
+def test_landmark_groups_asks_for_every_file(spark, tmp_path):
+    import duckdb
+
+    from tapewright.plans import catalogue
+
+    rows = [(f, 100 * (f // 3) + k, k + f) for f in range(1, 20) for k in range(12)]
+    path = str(tmp_path / "fingerprints.parquet")
+    spark.createDataFrame(rows, "file_id bigint, hash bigint, time_offset bigint").coalesce(1).write.parquet(path)
+    want = {f: max(1, f // 3 * 3) for f in range(1, 20)}
+    con = duckdb.connect()
+    con.execute(f"create view fingerprints as select * from '{path}/*.parquet'")
+    assert dict(con.execute(catalogue.SQL["landmark_groups"]).fetchall()) == want
+    assert {r["file_id"]: r["group_id"] for r in catalogue.QUERIES["landmark_groups"](spark, str(tmp_path)).collect()} == want
